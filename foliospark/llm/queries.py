@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import appearance
+from foliospark.llm import appearance, mojibake
 from foliospark.session import table
 
 
@@ -33,3 +33,20 @@ def p1_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p1_classes": p1_classes, "p1_pages": p1_pages, "p1_glyphs": p1_glyphs}
 SQL: dict[str, str] = {}
+
+
+def _garbled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata, fields = table(spark, sf_dir, "pdf_metadata"), table(spark, sf_dir, "pdf_form_fields")
+    model = mojibake.train(mojibake.training_texts(metadata, fields, table(spark, sf_dir, "pdf_pages")))
+    return mojibake.restored(mojibake.field_values(metadata, fields), model)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir).select("doc_id", "idx", "field").distinct()
+
+
+def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _garbled(spark, sf_dir)
+
+
+QUERIES |= {"p4_found": p4_found, "p4_restored": p4_restored}
