@@ -169,13 +169,9 @@ def page_texts(pages: DataFrame, glyphs: DataFrame) -> DataFrame:
     met = needed.join(bare.hint("shuffle_hash"), ["doc_id", "page"])
     runs = met.groupBy("doc_id", "page", "page_id").agg(F.collect_set(F.struct("idx", "t")).alias("g"))
     # Each idx once: of glyphs that share one, the first by text.
-    ordered = F.array_sort("g")
-    text = F.aggregate(
-        ordered,
-        F.struct(F.lit(None).cast("int").alias("idx"), F.array().cast("array<string>").alias("ts")),
-        lambda a, g: F.when(a["idx"].eqNullSafe(g["idx"]) & g["idx"].isNotNull(), a).otherwise(F.struct(g["idx"].alias("idx"), F.concat(a["ts"], F.array(g["t"])).alias("ts"))),
-        lambda a: F.array_join(a["ts"], ""),
-    )
+    runs = runs.withColumn("g", F.array_sort("g"))
+    once = F.filter("g", lambda g, i: (i == 0) | ~g["idx"].eqNullSafe(F.get(F.col("g"), i - 1)["idx"]))
+    text = F.array_join(F.transform(once, lambda g: g["t"]), "")
     return kept.unionByName(runs.select("page_id", text.alias("text")))
 
 
