@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import appearance, mojibake
-from foliospark.session import table
+from foliospark.llm import appearance, leakage, mixing, mojibake, truncation
+from foliospark.session import checkpointed, table
 
 
 def _page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,3 +50,61 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p4_found": p4_found, "p4_restored": p4_restored}
+
+
+def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _leaks(spark, sf_dir)
+
+
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leakage.leaked_items(_leaks(spark, sf_dir))
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "source_targets")
+    return mixing.mixture(checkpointed(mixing.sizes(table(spark, sf_dir, "documents"), targets)), targets)
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixture(spark, sf_dir)
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(checkpointed(_mixture(spark, sf_dir)), table(spark, sf_dir, "source_targets"))
+
+
+def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    interior, final = truncation.train(documents)
+    return truncation.scored(documents.select("doc_id", "source", "lang", "n_chars", "text"), interior, final)
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir).where("cut").select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cuts(spark, sf_dir)
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.source_rates(_cuts(spark, sf_dir))
+
+
+QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+
+SQL["p8_found"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+     b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
+     ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), i -> array_to_string(w[i:i + 7], ' '))) AS s FROM d WHERE len(w) >= 8),
+     bs AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 6), i -> array_to_string(w[i:i + 7], ' '))) AS s FROM b WHERE len(w) >= 8)
+SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)
+"""
