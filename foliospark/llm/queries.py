@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import appearance, leakage, mixing, mojibake, truncation
+from foliospark.llm import appearance, language, leakage, mixing, mojibake, truncation
 from foliospark.session import checkpointed, table
 
 
@@ -104,7 +104,29 @@ QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p
 SQL["p8_found"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
      b AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
-     ds AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - 6), i -> array_to_string(w[i:i + 7], ' '))) AS s FROM d WHERE len(w) >= 8),
-     bs AS (SELECT item_id, unnest(list_transform(range(1, len(w) - 6), i -> array_to_string(w[i:i + 7], ' '))) AS s FROM b WHERE len(w) >= 8)
+     di AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+     bi AS (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i FROM b WHERE len(w) >= 8),
+     ds AS (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS s FROM di),
+     bs AS (SELECT item_id, array_to_string(w[i:i + 7], ' ') AS s FROM bi)
 SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)
 """
+
+
+def _language(spark: SparkSession, sf_dir: str):
+    pages = table(spark, sf_dir, "pdf_pages").select("page_id", "text", "lang")
+    return pages, language.train(pages)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.mislabelled(language.page_languages(*_language(spark, sf_dir)))
+
+
+def p2_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_languages(*_language(spark, sf_dir)).distinct()
+
+
+def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.page_segments(*_language(spark, sf_dir))
+
+
+QUERIES |= {"p2_found": p2_found, "p2_pages": p2_pages, "p2_segments": p2_segments}
