@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import appearance, language, leakage, mixing, mojibake, truncation
+from foliospark.llm import appearance, language, leakage, mixing, mojibake, scans, truncation
 from foliospark.session import checkpointed, table
 
 
@@ -130,3 +130,23 @@ def p2_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p2_found": p2_found, "p2_pages": p2_pages, "p2_segments": p2_segments}
+
+
+def _scans(spark: SparkSession, sf_dir: str):
+    words = scans.read_words(table(spark, sf_dir, "pdf_glyphs"))
+    return words, scans.train(table(spark, sf_dir, "pdf_pages"), words)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(*_scans(spark, sf_dir)).select("doc_id", "page", "idx", "kind")
+
+
+def p5_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.noise(*_scans(spark, sf_dir)).where("corrected is not null")
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repaired_paragraphs(*_scans(spark, sf_dir))
+
+
+QUERIES |= {"p5_found": p5_found, "p5_corrections": p5_corrections, "p5_paragraphs": p5_paragraphs}
