@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.llm import appearance, language, leakage, mixing, mojibake, scans, truncation
+from foliospark.llm import appearance, language, leakage, mixing, mojibake, naming, scans, truncation
 from foliospark.session import checkpointed, table
 
 
@@ -150,3 +150,22 @@ def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p5_found": p5_found, "p5_corrections": p5_corrections, "p5_paragraphs": p5_paragraphs}
+
+
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    metadata, fields = table(spark, sf_dir, "pdf_metadata"), table(spark, sf_dir, "pdf_form_fields")
+    names = checkpointed(naming.field_names(metadata))
+    model = mojibake.train(mojibake.training_texts(metadata, fields, table(spark, sf_dir, "pdf_pages")))
+    garbled = mojibake.restored(names.where("field = 'author'").select("field", F.col("name").alias("text")), model)
+    return naming.entities(names.join(garbled.select("field", F.col("text").alias("name")), ["field", "name"], "left_anti"))
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return naming.pairs(checkpointed(_entities(spark, sf_dir)))
+
+
+def p7_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entities(spark, sf_dir)
+
+
+QUERIES |= {"p7_found": p7_found, "p7_entities": p7_entities}
