@@ -112,6 +112,7 @@ def parse_product(name: str) -> dict:
 def parse_person(name: str) -> dict:
     """A person, or an organisation where a word says so."""
     text = fold(_LOOK(name))
+    text = re.sub(r"-+", "-", text)
     words = re.findall(r"[^\W_]+", text)
     if any(w in ORGANISATION for w in words) or any(w in _ORG_WORD and re.search(rf"\b{w}\.", text) for w in words) or any(w in LEGAL and len(w) > 2 for w in words):
         tokens = sorted(_ORG_WORD.get(w, w) for w in words if w not in LEGAL and w not in FILLERS) or words
@@ -241,10 +242,10 @@ def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer
     # A slip in the surname: the form as spelt by the only owner one slip away.
     unknown = bare.join(owners, ["field", "form"], "left_anti").select("field", "form", F.explode("slips").alias("s")).select("field", "form", F.col("s.form").alias("slip"), F.col("s.token").alias("token")).distinct()
     surname, initial = F.substring_index("form", "|", 1), F.substring_index("form", "|", -1)
-    near = owners.select("field", "form", surname.alias("t2"), initial.alias("i")).distinct().where(F.length("t2") >= 6)
+    near = owners.select("field", "form", "entity", surname.alias("t2"), initial.alias("i")).distinct().where(F.length("t2") >= 6)
     cut = F.expr("transform(sequence(0, length(t2)), p -> concat(if(p = 0, t2, concat(substring(t2, 1, p - 1), substring(t2, p + 1))), '|', i))")
-    near = near.select("field", F.col("form").alias("spelt"), "t2", F.explode(cut).alias("slip")).distinct()
-    moved = unknown.join(near, ["field", "slip"]).where(_one_slip("token", "t2")).groupBy("field", "form").agg(F.min("spelt").alias("spelt"), F.max("spelt").alias("other")).where("spelt = other").select("field", "form", "spelt")
+    near = near.select("field", "entity", F.col("form").alias("spelt"), "t2", F.explode(cut).alias("slip")).distinct()
+    moved = unknown.join(near, ["field", "slip"]).where(_one_slip("token", "t2")).groupBy("field", "form").agg(F.min("spelt").alias("spelt"), F.min("entity").alias("e1"), F.max("entity").alias("e2")).where("e1 = e2").select("field", "form", "spelt")
     bare = bare.join(moved, ["field", "form"], "left").withColumn("form", F.coalesce("spelt", "form")).drop("spelt", "slips")
     # One owner: that one, unless it is known by other middle initials only. Several: the one with this middle initial.
     options = bare.join(owners, ["field", "form"]).withColumn("same", F.coalesce(F.array_contains("middles", F.col("middle")), F.lit(False)))
