@@ -304,6 +304,7 @@ class Font:
     vertical_metrics: dict[int, tuple[float, float, float]] = field(default_factory=dict)
     glyphs: dict[int, str] | None = None
     collection: dict[int, str] | None = None
+    shown: dict[bool, list[str]] = field(default_factory=dict)
     _memo: dict[tuple[int, int], tuple] = field(default_factory=dict)
 
     def decode(self, raw: bytes):

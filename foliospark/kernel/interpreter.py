@@ -363,7 +363,8 @@ class Content:
             steps = steps + (codes == 32) * (s.word_spacing * s.stretch)
         ends = np.cumsum(steps)
         offsets = np.concatenate([[0.0], ends[:-1]])
-        texts = [self._clean(font, c) for c in raw]
+        table = self._clean(font)
+        texts = [table[c] for c in raw]
         trm = product(self.tm, s.ctm)
         size = s.size * font.em if font.em > 0 else s.size
         if not all(texts):
@@ -373,11 +374,12 @@ class Content:
         if texts:
             self.w.add(self.w._line(texts, offsets, widths, trm, size, s.rise))
 
-    def _clean(self, font: fonts.Font, code: int) -> str:
-        table = font.__dict__.setdefault(f"clean{self.w.fold_ligatures}", None)
+    def _clean(self, font: fonts.Font) -> list[str]:
+        """The font's texts as shown, made once for each ligature setting."""
+        table = font.shown.get(self.w.fold_ligatures)
         if table is None:
-            table = font.__dict__[f"clean{self.w.fold_ligatures}"] = [encodings.sanitize(t, self.w.fold_ligatures) for t in font.texts]
-        return table[code]
+            table = font.shown[self.w.fold_ligatures] = [encodings.sanitize(t, self.w.fold_ligatures) for t in font.texts]
+        return table
 
     def _show_composite(self, font: fonts.Font, raw: bytes):
         s, w = self.s, self.w

@@ -19,7 +19,7 @@ from foliospark.kernel.interpreter import Limits
 from foliospark.kernel.layout import Options as LayoutOptions
 from foliospark.operators import pages as page_operators
 from foliospark.plans import pdf_files as draw
-from foliospark.session import table
+from foliospark.session import spread, table
 from foliospark.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,7 +44,8 @@ def fill(sql: str, line: str = "l", where: str = "") -> str:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", draw.drawable(F.col("text")).alias("text"))
+    rows = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", draw.drawable(F.col("text")).alias("text"))
+    return spread(rows)
 
 
 def drawn(spark: SparkSession, sf_dir: str, make=draw.b.text_pdf) -> DataFrame:

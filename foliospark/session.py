@@ -30,6 +30,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    A table of one small file arrives as one task; before work that is heavy for
+    each row its rows are dealt out.  Larger tables have more splits than cores
+    and pass through untouched.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.select(df.columns[0]).rdd.getNumPartitions()
+    return df.repartition(wanted) if splits < wanted else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder the cluster names in ``spark.checkpoint.dir``.
 
