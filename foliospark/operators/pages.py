@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,40 +53,60 @@ def layout_text(glyphs: DataFrame, options: Options = Options(), boxes: DataFram
     placed = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "idx", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, box, out = None, [], None, []
-
-        def close():
-            if held:
-                glyphs = Glyphs.of_rows(held)
-                out.append((*key, Layout(glyphs, options, box).page_text()))
-
-        def flush():
-            d, p, t = zip(*out)
-            return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(p, pa.int32()), pa.array(t, pa.string())], names=["doc_id", "page", "text"])
-
-        as_pair = lambda v: None if v is None else (v["x"] or 0.0, v["y"] or 0.0)
-        last_idx = None
+        rest = None
         for batch in batches:
-            data = batch.to_pydict()
-            for doc_id, page, idx, text, x, y, advance, size, d, a, e, m in zip(*(data[c] for c in (*columns, "media_box"))):
-                if (doc_id, page) != key:
-                    close()
-                    if len(out) > 1000:
-                        yield flush()
-                        out.clear()
-                    key, held, last_idx = (doc_id, page), [], None
-                    box = None if m is None else (m["min_x"], m["min_y"], m["max_x"], m["max_y"])
-                if idx is not None and idx == last_idx:
-                    continue
-                last_idx = idx
-                held.append((text, x, y, advance, size, as_pair(d), as_pair(a), as_pair(e)))
-        close()
-        if out:
-            yield flush()
+            held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            held = held.combine_chunks()
+            starts = _page_starts(held)
+            yield _texts(held, starts, options)
+            rest = held.slice(starts[-1])  # the last page may go on in the next batch
+        if rest is not None:
+            yield _texts(rest, [*_page_starts(rest), len(rest)], options)
 
     return placed.mapInArrow(run, "doc_id bigint, page int, text string")
 
 
+def _page_starts(held: pa.Table) -> list[int]:
+    doc, page = (held.column(c).to_numpy() for c in ("doc_id", "page"))
+    return [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist()]
+
+
+def _pairs(column, default: tuple[float, float]) -> np.ndarray:
+    """n x 2 numbers of a struct column, the default where it is NULL."""
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    out = np.stack([whole.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], axis=1)
+    missing = whole.is_null().to_numpy(zero_copy_only=False)
+    out[missing] = default
+    return np.nan_to_num(out)
+
+
+def _texts(held: pa.Table, starts: list[int], options: Options) -> pa.RecordBatch:
+    """The texts of the whole pages between the given starts."""
+    docs, pages, texts = [], [], []
+    if len(starts) > 1:
+        end = starts[-1]
+        held = held.slice(0, end)
+        text = held.column("text").to_pylist()
+        idx = held.column("idx").to_numpy()
+        x, y, advance, size = (np.nan_to_num(held.column(c).to_numpy().astype(float)) for c in ("x", "y", "advance", "size"))
+        toward, up, down = _pairs(held.column("dir"), (1.0, 0.0)), _pairs(held.column("ascent"), (0.0, 0.0)), _pairs(held.column("descent"), (0.0, 0.0))
+        length = np.hypot(toward[:, 0], toward[:, 1])
+        usable = length > 1e-9
+        toward = np.where(usable[:, None], toward / np.where(usable, length, 1.0)[:, None], (1.0, 0.0))
+        repeated = np.zeros(end, bool)
+        repeated[1:] = idx[1:] == idx[:-1]
+        repeated[starts[:-1]] = False
+        doc, page, boxes = held.column("doc_id"), held.column("page"), held.column("media_box")
+        for a, b in zip(starts, starts[1:]):
+            keep = np.flatnonzero(~repeated[a:b]) + a
+            glyphs = Glyphs([text[k] for k in keep], x[keep], y[keep], advance[keep], size[keep], toward[keep, 0], toward[keep, 1], up[keep], down[keep])
+            box = boxes[a].as_py()
+            docs.append(doc[a].as_py())
+            pages.append(page[a].as_py())
+            texts.append(Layout(glyphs, options, None if box is None else (box["min_x"], box["min_y"], box["max_x"], box["max_y"])).page_text())
+    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pages, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "page", "text"])
+
+
 def without_repeats(glyphs: DataFrame) -> DataFrame:
     """Glyph rows with copies painted at one place left out (first drawn kept), for upright text.
 
