@@ -132,7 +132,7 @@ def fit(examples: list[tuple[str, str]], seed: int = 5) -> Model:
     if not rows:
         return _start(rng)
     y, held = np.array(labels), np.array(held)
-    model = _descend(_start(rng), rows, y, np.flatnonzero(~held), rng)
+    model = _descend(_start(rng), rows, y, np.flatnonzero(~held), rng, 1)
     share = model.word_logits()
     agrees = np.array([share[r].mean(0) + model.bias for r in rows]).argmax(1) == y
     model = _descend(_start(rng), rows, y, np.flatnonzero(~held & agrees), rng)
@@ -145,11 +145,11 @@ def _start(rng: np.random.Generator) -> Model:
     return Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), np.zeros((DIM, n), np.float32), np.zeros(n, np.float32))
 
 
-def _descend(model: Model, rows: list[np.ndarray], y: np.ndarray, train: np.ndarray, rng: np.random.Generator) -> Model:
+def _descend(model: Model, rows: list[np.ndarray], y: np.ndarray, train: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> Model:
     """Stochastic gradient descent on the softmax loss; languages weigh the same."""
     weight = len(train) / np.maximum(np.bincount(y[train], minlength=len(LANGUAGES)), 1) / len(LANGUAGES)
-    steps, done = EPOCHS * max(1, len(train) // BATCH), 0
-    for _ in range(EPOCHS):
+    steps, done = epochs * max(1, len(train) // BATCH), 0
+    for _ in range(epochs):
         train = rng.permutation(train)
         for at in range(0, len(train), BATCH):
             rate = RATE * max(0.05, 1 - done / steps)
