@@ -27,13 +27,22 @@ class Problem(Exception):
 
 
 def flate(data: bytes, limit: int = STREAM_LIMIT) -> bytes:
-    """zlib data, or raw deflate where the header is none; a wrong checksum is ignored."""
+    """zlib data, or raw deflate where the header is none; the checksum is not looked at."""
     header = len(data) >= 2 and data[0] & 0x0F == 8 and (data[0] << 8 | data[1]) % 31 == 0
-    engine, out, at = zlib.decompressobj(15 if header else -15), [], 0
-    size = 0
-    while at < len(data) and not engine.eof:
+    out, problem = _inflate(data[2:] if header else data, limit)
+    if problem and header and not out:
+        out, problem = _inflate(data, limit)
+    if problem:
+        raise Problem(f"flate: {problem}", out)
+    return out
+
+
+def _inflate(data: bytes, limit: int) -> tuple[bytes, str]:
+    """(what could be read, why no more)."""
+    engine, out, size = zlib.decompressobj(-15), [], 0
+    for at in range(0, len(data), 65536):
         step = data[at : at + 65536]
-        at += len(step)
+        saved, kept = engine.copy(), len(out)
         try:
             while step and size < limit:
                 piece = engine.decompress(step, limit - size)
@@ -41,44 +50,17 @@ def flate(data: bytes, limit: int = STREAM_LIMIT) -> bytes:
                 size += len(piece)
                 step = engine.unconsumed_tail
         except zlib.error as e:
-            if "incorrect data check" in str(e):
-                break
-            kept = b"".join(out) + _byte_by_byte(data, at - 65536 if at > 65536 else 0, header, limit, size)
-            if not kept and header:
-                return flate_raw(data[2:], limit)
-            raise Problem(f"flate: {e}", kept) from None
-        if size >= limit:
+            # Again in single bytes from before this step, for what its damaged block still gives.
+            exact = bytearray()
+            try:
+                for i in range(at, min(at + 65536, len(data))):
+                    exact += saved.decompress(data[i : i + 1])
+            except zlib.error:
+                pass
+            return (b"".join(out[:kept]) + bytes(exact))[:limit], str(e)
+        if engine.eof or size >= limit:
             break
-    return b"".join(out)
-
-
-def _byte_by_byte(data: bytes, start: int, header: bool, limit: int, known: int) -> bytes:
-    """What a damaged stream still gives in the block where it breaks."""
-    engine, out = zlib.decompressobj(15 if header else -15), bytearray()
-    try:
-        engine_input = memoryview(data)
-        for i in range(0, len(data), 64):
-            out += engine.decompress(bytes(engine_input[i : i + 64]))
-            if len(out) > limit:
-                break
-    except zlib.error:
-        engine = zlib.decompressobj(15 if header else -15)
-        exact = bytearray()
-        try:
-            for b in data[: i + 64]:
-                exact += engine.decompress(bytes([b]))
-        except zlib.error:
-            pass
-        out = exact
-    return bytes(out[known:limit])
-
-
-def flate_raw(data: bytes, limit: int) -> bytes:
-    engine = zlib.decompressobj(-15)
-    try:
-        return engine.decompress(data, limit)
-    except zlib.error as e:
-        raise Problem(f"flate: {e}") from None
+    return b"".join(out), ""
 
 
 def lzw(data: bytes, early: int = 1, limit: int = STREAM_LIMIT) -> bytes:

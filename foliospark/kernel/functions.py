@@ -253,5 +253,5 @@ OPERATORS = {
     "sqrt": _unary(math.sqrt), "exp": _binary(lambda a, b: float(a) ** b), "ln": _unary(math.log), "log": _unary(math.log10), "sin": _unary(lambda v: math.sin(math.radians(v))), "cos": _unary(lambda v: math.cos(math.radians(v))), "atan": _binary(lambda a, b: math.degrees(math.atan2(a, b)) % 360),
     "and": _binary(_logic(operator.and_, operator.and_)), "or": _binary(_logic(operator.or_, operator.or_)), "xor": _binary(_logic(operator.xor, operator.xor)), "not": _unary(lambda v: not v if isinstance(v, bool) else ~int(v)), "bitshift": _binary(_shift),
     "eq": _binary(operator.eq), "ne": _binary(operator.ne), "gt": _binary(operator.gt), "ge": _binary(operator.ge), "lt": _binary(operator.lt), "le": _binary(operator.le), "true": lambda s: _push(s, True), "false": lambda s: _push(s, False),
-    "pop": lambda s: s.pop(), "exch": lambda s: s.insert(len(s) - 1, s.pop()) if len(s) > 1 else s[2], "dup": lambda s: _push(s, s[-1]), "copy": _copy, "index": _index, "roll": _roll,
+    "pop": lambda s: s.pop(), "exch": lambda s: s.insert(len(s) - 2, s.pop()) if len(s) > 1 else s[2], "dup": lambda s: _push(s, s[-1]), "copy": _copy, "index": _index, "roll": _roll,
 }
