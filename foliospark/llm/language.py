@@ -44,6 +44,8 @@ DIM = 16
 GRAMS = (2, 3, 4)
 SAMPLE_PER_LANGUAGE = 600
 EPOCHS = 4
+#: A small sample is gone through more often, to take as many steps.
+MIN_STEPS = 400
 RATE = 0.5
 BATCH = 64
 MIN_LETTERS = 12
@@ -70,7 +72,7 @@ def segments(text: str) -> list[str]:
     lines = [x for x in lines if x]
     # A line apart at the top or bottom: no sentence mark, short beside the others, not continued.
     widths = sorted(len(x) for x in lines)
-    usual = widths[len(widths) // 2] if widths else 0
+    usual = widths[3 * len(widths) // 4] if widths else 0
     for at in (0, -1):
         while lines:
             words = _WORD.findall(lines[at])
@@ -147,7 +149,10 @@ def _start(rng: np.random.Generator) -> Model:
 
 def _descend(model: Model, rows: list[np.ndarray], y: np.ndarray, train: np.ndarray, rng: np.random.Generator, epochs: int = EPOCHS) -> Model:
     """Stochastic gradient descent on the softmax loss; languages weigh the same."""
+    if not len(train):
+        return model
     weight = len(train) / np.maximum(np.bincount(y[train], minlength=len(LANGUAGES)), 1) / len(LANGUAGES)
+    epochs = max(epochs, -(-MIN_STEPS // max(1, len(train) // BATCH)))
     steps, done = epochs * max(1, len(train) // BATCH), 0
     for _ in range(epochs):
         train = rng.permutation(train)

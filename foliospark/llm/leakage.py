@@ -63,7 +63,7 @@ class Probe:
         self.items: dict[tuple[str, ...], list[tuple[int, int]]] = {}
         for item_id, text in items:
             tokens = words(text)
-            self.sizes[item_id] = len(tokens)
+            self.sizes[item_id] = max(len(tokens), size, self.sizes.get(item_id, 0))
             for i in range(len(tokens) - size + 1):
                 shingle = tuple(tokens[i : i + size])
                 if shingle not in self.items:
@@ -92,10 +92,10 @@ class Probe:
             best, starts = 0, sorted(hits)
             lo = 0
             for hi in range(len(starts)):
-                while starts[hi][0] - starts[lo][0] > window - size:
+                while lo < hi and starts[hi][0] - starts[lo][0] > window - size:
                     lo += 1
                 best = max(best, len({i for _, i in starts[lo : hi + 1]}))
-            out.append((item_id, len({i for _, i in hits}), best / (window - size + 1)))
+            out.append((item_id, len({i for _, i in hits}), min(1.0, best / (window - size + 1))))
         return out
 
 

@@ -43,6 +43,7 @@ SWAPS = tuple(
 #: Least gain in log frequency, per re-read letter, for a re-reading to hold.
 MIN_GAIN, MIN_TOTAL = 1.2, 2.5
 ROUNDS = 4
+UNKNOWN = -40.0
 BAD = "�"
 
 
@@ -170,10 +171,12 @@ def model_of(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dense, wide = np.zeros((len(letters()) + 1) * CLASSES * CLASSES), np.zeros(SKETCH)
     dense[cell[cell >= 0]] = n[cell >= 0]
     wide[-1 - cell[cell < 0]] = n[cell < 0]
-    dense[: CLASSES * CLASSES] = 0  # characters of no code page
     per_letter = dense.reshape(-1, CLASSES * CLASSES).sum(1)
     floor = np.repeat(5 * per_letter / max(per_letter.sum(), 1), CLASSES * CLASSES)
-    return np.log(dense + floor + 1e-2).astype(np.float32), np.log(wide + 0.3).astype(np.float32)
+    table = np.log(dense + floor + 1e-2)
+    # A character of no code page is worth three garbled ones and not three likely ones.
+    table[: CLASSES * CLASSES] = UNKNOWN
+    return table.astype(np.float32), np.log(wide + 0.3).astype(np.float32)
 
 
 def train(texts: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
@@ -309,10 +312,9 @@ def restored(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "t
                         known.clear()
                     known[v] = work.restore(v)
                 out.append(known[v])
-            hit = [o is not None for o in out]
-            part = pdf[hit].copy()
-            part["restored"] = [o[0] for o in out if o]
-            part["restorable"] = [o[1] for o in out if o]
+            part = pdf.loc[np.array([o is not None for o in out], bool)].copy()
+            part["restored"] = pd.Series([o[0] for o in out if o], index=part.index, dtype=object)
+            part["restorable"] = pd.Series([o[1] for o in out if o], index=part.index, dtype=bool)
             yield part
 
     return df.mapInPandas(run, schema)
