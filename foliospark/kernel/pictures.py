@@ -1,17 +1,17 @@
 """Image records, and their samples as pixels.
 
-What a codec of its own would have to decode (JPEG, JPEG 2000, JBIG2) stays
-encoded: ``decode`` says so and the bytes are kept.  Raw, indexed and CCITT
-samples become 8-bit grey or RGB.
+Raw, indexed, CCITT, JBIG2 and JPEG samples become 8-bit grey or RGB.  JPEG 2000
+stays encoded: ``pixels`` says so and the bytes are kept.
 """
 
 from __future__ import annotations
 
+import struct
 from dataclasses import dataclass, field
 
 import numpy as np
 
-from foliospark.kernel import ccitt, filters, functions
+from foliospark.kernel import ccitt, filters, functions, jbig2, jpeg
 from foliospark.kernel.interpreter import SHORT_SPACES, Matrix, Painted
 from foliospark.kernel.objects import Name, Stream
 from foliospark.kernel.reader import File
@@ -49,6 +49,8 @@ class Image:
     data: bytes
     decode: list[float] = field(default_factory=list)
     parms: dict = field(default_factory=dict)
+    #: segments that a JBIG2 stream shares with others
+    shared: bytes | None = None
 
     def to_page(self, x: float, y: float) -> tuple[float, float]:
         """A pixel corner in page space; the first row is the top."""
@@ -125,10 +127,13 @@ def load(file: File, painted: Painted, limit: int = filters.STREAM_LIMIT) -> Ima
     else:
         data, codec, parms = file.image_body(painted.stream, limit)
     bits = get("BitsPerComponent")
-    bits = 1 if mask or codec == "CCITTFaxDecode" else bits if type(bits) is int else 8
+    bits = 1 if mask or codec in ("CCITTFaxDecode", "JBIG2Decode") else bits if type(bits) is int else 8
     space = None if mask else space_of(file, own.get("ColorSpace"), painted.resources)
     decode = [float(v) for v in file.items(own.get("Decode")) if isinstance(v, (int, float))]
-    return Image(width, height, bits, space.components if space else 1, space, codec, mask, inline, painted.ctm, data, decode, parms)
+    shared = None
+    if codec == "JBIG2Decode" and isinstance(file.get(parms.get("JBIG2Globals")), Stream):
+        shared = file.body(file.get(parms["JBIG2Globals"]))
+    return Image(width, height, bits, space.components if space else 1, space, codec, mask, inline, painted.ctm, data, decode, parms, shared)
 
 
 def pixels(image: Image, limit: int = 64 << 20) -> np.ndarray:
@@ -137,6 +142,14 @@ def pixels(image: Image, limit: int = 64 << 20) -> np.ndarray:
         raise Unsupported("image exceeds the pixel limit")
     if image.filter == "CCITTFaxDecode":
         data = ccitt.decode(image.data, image.parms, image.width, image.height)
+    elif image.filter == "JBIG2Decode":
+        try:
+            bits = np.frombuffer(jbig2.decode(image.data, image.shared, image.width, image.height), np.uint8)
+        except (jbig2.Unsupported, struct.error) as e:
+            raise Unsupported(f"JBIG2: {e}") from None
+        data = (~bits).tobytes()  # black is 0 in sample space
+    elif image.filter == "DCTDecode":
+        return _photograph(image)
     elif image.filter:
         raise Unsupported(f"{image.filter} stays encoded")
     else:
@@ -167,6 +180,23 @@ def pixels(image: Image, limit: int = 64 << 20) -> np.ndarray:
     return _to_device(values, image.space)
 
 
+def _photograph(image: Image) -> np.ndarray:
+    """JPEG samples through the image's colour space."""
+    try:
+        samples, inverted = jpeg.decode(image.data, image.parms.get("ColorTransform"))
+    except (jpeg.Unsupported, struct.error, IndexError, ValueError) as e:
+        raise Unsupported(f"JPEG: {e}") from None
+    values = samples.astype(np.float64) / 255
+    if inverted and not image.decode:
+        values = 1 - values
+    for i in range(values.shape[2]):
+        if len(image.decode) >= 2 * i + 2:
+            lo, hi = image.decode[2 * i : 2 * i + 2]
+            values[:, :, i] = np.clip(lo + values[:, :, i] * (hi - lo), 0, 1)
+    space = image.space if image.space is not None and image.space.components == values.shape[2] and image.space.name != "Indexed" else None
+    return _to_device(values, space)
+
+
 def _indexed(space: Space, index: np.ndarray) -> np.ndarray:
     n = space.base.components
     table = np.frombuffer(space.palette[: (space.high + 1) * n].ljust((space.high + 1) * n, b"\0"), np.uint8).reshape(1, -1, n)

@@ -362,3 +362,162 @@ def test_fax_two_dimensional():
     data = int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8), "big")
     page = np.unpackbits(np.frombuffer(ccitt.decode(data, {"K": -1, "Columns": 16, "BlackIs1": True}, 16, 2), np.uint8).reshape(2, -1), axis=1)
     assert page.tolist() == [[0] * 3 + [1] * 4 + [0] * 9] * 2
+
+
+# ---- arithmetic coding and bilevel images
+
+
+class Coder:
+    """Encoder for the arithmetic decoder, after the published flow charts."""
+
+    def __init__(self):
+        self.a, self.c, self.ct, self.out = 0x8000, 0, 12, bytearray([0])
+
+    def bit(self, contexts, i, d):
+        from foliospark.kernel.mq import STATES
+
+        qe, good, bad, switch = STATES[contexts.state[i]]
+        self.a -= qe
+        if d == contexts.likely[i]:
+            if self.a & 0x8000:
+                self.c += qe
+                return
+            if self.a < qe:
+                self.a = qe
+            else:
+                self.c += qe
+            contexts.state[i] = good
+        else:
+            if self.a < qe:
+                self.c += qe
+            else:
+                self.a = qe
+            if switch:
+                contexts.likely[i] ^= 1
+            contexts.state[i] = bad
+        while not self.a & 0x8000:
+            self.a <<= 1
+            self.c <<= 1
+            self.ct -= 1
+            if self.ct == 0:
+                self.byte()
+
+    def byte(self):
+        if self.out[-1] == 0xFF or (self.c >= 0x8000000 and self.out[-1] == 0xFE):
+            if self.out[-1] != 0xFF:
+                self.out[-1] += 1
+                self.c &= 0x7FFFFFF
+            self.out.append(self.c >> 20)
+            self.c &= 0xFFFFF
+            self.ct = 7
+            return
+        if self.c >= 0x8000000:
+            self.out[-1] += 1
+            self.c &= 0x7FFFFFF
+        self.out.append(self.c >> 19)
+        self.c &= 0x7FFFF
+        self.ct = 8
+
+    def finish(self):
+        t = self.c + self.a
+        self.c |= 0xFFFF
+        if self.c >= t:
+            self.c -= 0x8000
+        for _ in range(2):
+            self.c <<= self.ct
+            self.byte()
+        return bytes(self.out[1:]) + b"\xff\xac"
+
+
+def test_arithmetic_decoder_vector():
+    from foliospark.kernel.mq import Contexts, Decoder
+
+    coded = bytes.fromhex("84C73BFCE1A1430402200000410DBB86F4317FFF88FF37471ADB6ADFFFAC")
+    plain = bytes.fromhex("00020051000000C0035287 2AAAAAAAAA82C02000FCD79EF6BF7FED904F46A3BF".replace(" ", ""))
+    decoder, contexts = Decoder(coded), Contexts(1)
+    bits = [decoder.bit(contexts, 0) for _ in range(8 * len(plain))]
+    assert np.packbits(bits).tobytes() == plain
+    coder, contexts = Coder(), Contexts(1)
+    for b in np.unpackbits(np.frombuffer(plain, np.uint8)).tolist():
+        coder.bit(contexts, 0, b)
+    assert coder.finish()[:28] == coded[:28]
+
+
+class Recorder:
+    """Stands in for a decoder: takes its bits from a bitmap being coded."""
+
+    def __init__(self, bits):
+        self.bits, self.coder = iter(bits), Coder()
+
+    def bit(self, contexts, i):
+        b = next(self.bits)
+        self.coder.bit(contexts, i, b)
+        return b
+
+
+def segment(number, kind, body, referred=()):
+    import struct
+
+    return struct.pack(">IBB", number, kind, len(referred) << 5) + bytes(referred) + b"\x01" + struct.pack(">I", len(body)) + body
+
+
+def integer_bits(v):
+    from foliospark.kernel.mq import Integers
+
+    if v is None:
+        return [1, 0, 0, 0]
+    sign, m = int(v < 0), abs(v)
+    kind = max(k for k, (_, lo) in enumerate(Integers.RANGES) if m >= lo)
+    n, lo = Integers.RANGES[kind]
+    return [sign] + [1] * kind + ([0] if kind < 5 else []) + [(m - lo) >> i & 1 for i in range(n - 1, -1, -1)]
+
+
+@pytest.mark.parametrize("template", [0, 1, 2, 3])
+def test_bilevel_generic_region(template):
+    import struct
+
+    from foliospark.kernel import jbig2
+
+    bits = (np.random.default_rng(3).random((19, 37)) < 0.3).astype(int)
+    recorder = Recorder(bits.ravel().tolist())
+    adaptive = jbig2.DEFAULT_ADAPTIVE[template]
+    jbig2.generic(recorder, 37, 19, template, adaptive, False)
+    body = struct.pack(">IIIIB", 37, 19, 2, 1, 0) + bytes([template << 1]) + b"".join(struct.pack(">bb", *p) for p in adaptive) + recorder.coder.finish()
+    page = np.unpackbits(np.frombuffer(jbig2.decode(segment(0, 48, bytes(19)) + segment(1, 38, body), None, 40, 24), np.uint8).reshape(24, -1), axis=1)
+    assert (page[1:20, 2:39] == bits).all() and page.sum() == bits.sum()
+
+
+def test_bilevel_symbols_and_text():
+    import struct
+
+    from foliospark.kernel import jbig2
+    from foliospark.kernel.mq import Contexts, Integers
+
+    shapes = [np.array([[1, 1, 1], [1, 0, 1], [1, 1, 1]]), np.array([[0, 1], [0, 1], [0, 1]])]
+    stream = integer_bits(3) + integer_bits(3) + shapes[0].ravel().tolist() + integer_bits(-1) + shapes[1].ravel().tolist() + integer_bits(None) + integer_bits(0) + integer_bits(2)
+    recorder = Recorder(stream)
+    numbers, contexts = Integers(recorder), Contexts(1 << 16)
+    numbers.integer("height")
+    for w in (3, 2):
+        numbers.integer("width")
+        jbig2.generic(recorder, w, 3, 0, jbig2.DEFAULT_ADAPTIVE[0], False, contexts)
+    numbers.integer("width")
+    numbers.integer("export")
+    numbers.integer("export")
+    adaptive = b"".join(struct.pack(">bb", *p) for p in jbig2.DEFAULT_ADAPTIVE[0])
+    dictionary = segment(0, 0, struct.pack(">H", 0) + adaptive + struct.pack(">II", 2, 2) + recorder.coder.finish())
+    recorder = Recorder(integer_bits(0) + integer_bits(2) + integer_bits(1) + [0] + integer_bits(2) + [1] + integer_bits(None))
+    numbers = Integers(recorder)
+    numbers.integer("strip")
+    numbers.integer("strip")
+    numbers.integer("first")
+    numbers.symbol(1)
+    numbers.integer("gap")
+    numbers.symbol(1)
+    numbers.integer("gap")
+    text = segment(2, 6, struct.pack(">IIIIB", 16, 8, 0, 0, 0) + struct.pack(">H", 1 << 4) + struct.pack(">I", 2) + recorder.coder.finish(), (0,))
+    page = np.unpackbits(np.frombuffer(jbig2.decode(segment(1, 48, bytes(19)) + text, dictionary, 16, 8), np.uint8).reshape(8, -1), axis=1)
+    want = np.zeros((8, 16), int)
+    want[2:5, 1:4] = shapes[0]
+    want[2:5, 5:7] = shapes[1]
+    assert (page == want).all()
