@@ -1,7 +1,7 @@
 """Image records, and their samples as pixels.
 
-Raw, indexed, CCITT, JBIG2 and JPEG samples become 8-bit grey or RGB.  JPEG 2000
-stays encoded: ``pixels`` says so and the bytes are kept.
+Raw, indexed, CCITT, JBIG2, JPEG and JPEG 2000 samples become 8-bit grey or RGB.
+What a codec does not support is said by ``pixels``, and the bytes are kept.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-from foliospark.kernel import ccitt, filters, functions, jbig2, jpeg
+from foliospark.kernel import ccitt, filters, functions, jbig2, jpeg, jpx
 from foliospark.kernel.interpreter import SHORT_SPACES, Matrix, Painted
 from foliospark.kernel.objects import Name, Stream
 from foliospark.kernel.reader import File
@@ -150,6 +150,11 @@ def pixels(image: Image, limit: int = 64 << 20) -> np.ndarray:
         data = (~bits).tobytes()  # black is 0 in sample space
     elif image.filter == "DCTDecode":
         return _photograph(image)
+    elif image.filter == "JPXDecode":
+        try:
+            return jpx.decode(image.data)
+        except (jpx.Unsupported, struct.error, IndexError, ValueError, AttributeError) as e:
+            raise Unsupported(f"JPEG 2000: {e}") from None
     elif image.filter:
         raise Unsupported(f"{image.filter} stays encoded")
     else:

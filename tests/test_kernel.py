@@ -521,3 +521,28 @@ def test_bilevel_symbols_and_text():
     want[2:5, 1:4] = shapes[0]
     want[2:5, 5:7] = shapes[1]
     assert (page == want).all()
+
+
+def test_compact_font_encoding():
+    import struct
+
+    def index(items):
+        marks = [1]
+        for i in items:
+            marks.append(marks[-1] + len(i))
+        return struct.pack(">H", len(items)) + (b"\x02" + b"".join(struct.pack(">H", m) for m in marks) + b"".join(items) if items else b"")
+
+    def number(v):
+        return b"\x1d" + struct.pack(">i", v)
+
+    head, names, strings, subrs = b"\1\0\4\1", index([b"F"]), index([b"Zcaron.alt"]), index([])
+    make = lambda *at: index([number(at[0]) + b"\x0f" + number(at[1]) + b"\x10" + number(at[2]) + b"\x11"])
+    base = len(head + names + make(0, 0, 0) + strings + subrs)
+    charset = b"\0" + struct.pack(">HHH", 34, 171, 391)  # A, Aacute, own string
+    encoding = b"\x01\x01" + bytes([65, 2])
+    data = head + names + make(base, base + len(charset), base + len(charset) + len(encoding)) + strings + subrs + charset + encoding + index([b"\x0e"] * 4)
+    assert fonts.cff_encoding(data) == {65: "A", 66: "Á", 67: "Ž"}
+    assert len(fonts._cff_standard()) == 229
+    font = b"<</Type /Font /Subtype /Type1 /BaseFont /X /FontDescriptor <</Flags 4 /FontFile3 6 0 R>>>>"
+    d = x.read(one_page(b"BT /F1 10 Tf 1 0 0 1 72 700 Tm (ABC) Tj ET", font=font, more={6: b.flate("/Subtype /Type1C", data)}))
+    assert d.text() == "AÁŽ"
