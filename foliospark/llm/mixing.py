@@ -8,8 +8,8 @@ integer quota before anything is selected.  Within one, documents follow in a
 seeded order: whole passes first, then the first documents of the next pass
 until the quota is filled.
 
-Shards hold a bounded number of tokens, so the ordered scan of one task does
-not grow with a source.
+Shards hold a bounded number of tokens (until a source has :data:`MOST_SHARDS`),
+so the ordered scan of one task does not grow with a source.
 
 Defined results: documents without text, of zero tokens, or without a source
 that has a target are not used; a target whose source has no documents keeps
@@ -35,6 +35,8 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 512
 SHARD_TOKENS = 2_000_000
+#: Most shards of a source; beyond it shards grow, and the ordered scan of one spills.
+MOST_SHARDS = 4096
 SEED = 17
 
 _encoders: dict[str, object] = {}
@@ -114,7 +116,7 @@ def mixture(sized: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     blocks = int(min(most, total_tokens or most) // block)
     quota = sainte_lague(share, blocks, {s: limit[s] // block for s in have})
     # Shards by a hash of the document; their sizes are counted, their quotas apportioned.
-    shards = {s: max(1, math.ceil(have[s] / shard_tokens)) for s in have}
+    shards = {s: min(MOST_SHARDS, max(1, math.ceil(have[s] / shard_tokens))) for s in have}
     per_source = spark.createDataFrame([(s, shards[s], goals[s][1]) for s in have] or [("", 1, 1)], "source string, shards int, max_repeats int")
     order = F.xxhash64(F.lit(seed), "doc_id")
     placed = sized.join(F.broadcast(per_source), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")).cast("int"))
@@ -132,8 +134,8 @@ def mixture(sized: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
 def _shard_quotas(loads: DataFrame, quota: dict[str, int], repeats: dict[str, int], block: int) -> DataFrame:
     """(source, shard, load, want): tokens each shard owes, apportioned within its source.
 
-    A source's shards are handled by one task each source: one row per
-    2 million tokens, never documents.
+    One task handles the shards of a source, at most :data:`MOST_SHARDS` rows,
+    never documents.
     """
 
     def run(group):
@@ -149,7 +151,7 @@ def _shard_quotas(loads: DataFrame, quota: dict[str, int], repeats: dict[str, in
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, actual_share, n_documents, most_uses) of every target."""
     got = mixed.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.count(F.lit(1)).alias("n_documents"), F.max("uses").alias("most_uses"))
-    whole = got.agg(F.sum("tokens").alias("whole"))
-    rows = targets.select("source", "target_share", "max_repeats").distinct().join(got, "source", "left").join(F.broadcast(whole))
+    rows = targets.select("source", "target_share", "max_repeats").distinct().join(got, "source", "left")
+    rows = rows.withColumn("whole", F.sum("tokens").over(Window.partitionBy(F.lit(0))))  # one row per target
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
     return rows.select("source", "target_share", "max_repeats", zero("tokens"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"), zero("n_documents"), zero("most_uses"))
