@@ -112,3 +112,21 @@ def test_repeats_ocr_and_intervals(spark):
     assert sorted((r.lo, r.hi, r.n) for r in pages.merged_intervals(i, "k", "lo", "hi").collect()) == [(1, 5, 2), (7, 8, 1)]
     with pytest.raises(ValueError):
         LayoutOptions("sideways")
+
+
+def test_table_function(spark, files):
+    from foliospark.sources import udtf
+
+    udtf.register(spark)
+    files.createOrReplaceTempView("some_files")
+    rows = spark.sql("SELECT doc_id, p.page, p.n_glyphs FROM some_files, LATERAL pdf_pages(content, '1') p ORDER BY doc_id").collect()
+    assert [(r.doc_id, r.page) for r in rows] == [(1, 1), (4, 1), (5, 1)]
+
+
+def test_words_of_an_ocr_program():
+    from foliospark.kernel import pictures, tesseract
+
+    image = pictures.Image(100, 200, 8, 1, None, None, False, False, (50.0, 0.0, 0.0, 100.0, 10.0, 20.0), b"")
+    tsv = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t20\t40\t30\t10\t90\tHello\n5\t1\t1\t1\t1\t2\t20\t40\t30\t10\t-1\t \n4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1\t\n5\tbroken\n5\t1\t1\t1\t1\t3\t60\t40\t30\t10\t12\tlow"
+    (run,) = tesseract.words(image, tsv, 50)
+    assert run.texts == ["Hello"] and run.x[0] == 20 and run.y[0] == 20 + 75 and run.advance[0] == 15 and run.size == 5 and tesseract.dpi(image) == 144
