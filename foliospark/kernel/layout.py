@@ -342,6 +342,9 @@ class Layout:
             return ""
         if self.options.mode == "content":
             return self.content_text()
+        quick = self._quick_text() if self.options.mode == "position" else None
+        if quick is not None:
+            return quick
         lines = self.lines()
         if self.box is not None:
             touching = self.g.within(self.box)
@@ -355,6 +358,40 @@ class Layout:
                 out.append(self.line_text(line, texts))
         return "\n".join(out)
 
+    def _quick_text(self) -> str | None:
+        """A page of plain separate lines, by comparing whole arrays; None if anything calls for more.
+
+        Every stretch of one baseline must be a line of its own, run forward
+        without gaps a gutter could fill, and share some width with every other
+        line, so that no line joins another and no columns can stand.
+        """
+        g, text = self.g, self.g.text
+        if (g.dx != 1.0).any() or (g.dy != 0.0).any() or (self.width <= 0.01 * self.em).any():
+            return None
+        start, end = g.x, g.x + self.width
+        change = (g.y[1:] != g.y[:-1]) | (g.size[1:] != g.size[:-1])
+        edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(text)]
+        firsts = np.array(edges[:-1])
+        height = g.y[firsts]
+        order = np.argsort(-height, kind="stable")
+        if len(order) > 1 and (-np.diff(height[order]) <= LINE_REACH * max(float(g.size.max()), 10.0)).any():
+            return None
+        lefts, rights = np.minimum.reduceat(start, firsts), np.maximum.reduceat(end, firsts)
+        if lefts.max() >= rights.min() or (self.box is not None and not g.within(self.box).all()):
+            return None
+        middle = (start + end) / 2
+        within = ~change
+        gap = start[1:] - end[:-1]
+        if (within & ((start[1:] < middle[:-1]) | (end[:-1] > middle[1:]) | (gap >= GUTTER * self.em[1:]) | (gap > np.where(g.size[1:] > 0, WORD_GAP * g.size[1:], 1.0)))).any():
+            return None
+        whole = "".join(text)
+        if not whole.isascii() and any(right_to_left(c) for c in set(whole)):
+            return None
+        if len(whole) != len(text) and any(len(t) > 1 and (t[0] in SPACE or t[-1] in SPACE) for t in text):
+            return None
+        lines = ("".join(text[edges[k] : edges[k + 1]]).strip(SPACE) for k in order.tolist())
+        return "\n".join(line for line in lines if line)
+
     def line_text(self, line: Line, texts: list[str]) -> str:
         if any(right_to_left(c) for t in texts if not t.isascii() for c in t):
             return "".join(logical_order(self._pieces(self._marks_first(line))))

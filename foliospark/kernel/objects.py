@@ -16,8 +16,8 @@ SPACES = b"\x00\t\n\x0c\r "
 DELIMITERS = b"()<>[]{}/%"
 
 _TOKEN = re.compile(
-    rb"(?P<skip>(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)+)|(?P<open><<|\[|\{)|(?P<close>>>|\]|\})|/(?P<name>[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
-    rb"|<(?P<hex>[^>]*)(?:>|$)|(?P<paren>\()|(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<stray>[)>])"
+    rb"(?:[\x00\t\n\x0c\r ]+|%[^\r\n]*)*(?:(?P<word>[^\x00\t\n\x0c\r ()<>\[\]{}/%]+)|(?P<paren>\()|/(?P<name>[^\x00\t\n\x0c\r ()<>\[\]{}/%]*)"
+    rb"|(?P<open><<|\[|\{)|(?P<close>>>|\]|\})|<(?P<hex>[^>]*)(?:>|$)|(?P<stray>[)>]))"
 )
 _NUMBER = re.compile(rb"[+-]*(?:\d+\.?\d*|\.\d+)(?:-\d*)?$")
 _ESCAPE = re.compile(rb"\\(?:([0-7]{1,3})|(\r\n|\r|\n)|(.)|$)", re.DOTALL)
@@ -109,28 +109,25 @@ class Scanner:
 
     def token(self):
         """The next value without structure: openers, closers and words come as Keyword."""
-        while True:
-            m = _TOKEN.match(self.data, self.at)
-            if m is None:
-                if self.at >= len(self.data):
-                    return END
-                self.at += 1
-                continue
-            self.at = m.end()
-            kind = m.lastgroup
-            if kind == "skip":
-                continue
-            if kind == "name":
-                return name_of(m["name"])
-            if kind == "hex":
-                return unhex(m["hex"])
-            if kind == "paren":
-                return self._parenthesised()
-            if kind == "word":
-                word = m["word"]
-                value = number(word)
-                return Keyword(word.decode("latin-1")) if value is None else value
-            return Keyword(m[0].decode())
+        m = _TOKEN.match(self.data, self.at)
+        if m is None:  # nothing but space is left
+            self.at = len(self.data)
+            return END
+        self.at = m.end()
+        kind = m.lastgroup
+        if kind == "word":
+            word = m["word"]
+            if word.isdigit():
+                return int(word)
+            value = number(word)
+            return Keyword(word.decode("latin-1")) if value is None else value
+        if kind == "paren":
+            return self._parenthesised()
+        if kind == "name":
+            return name_of(m["name"])
+        if kind == "hex":
+            return unhex(m["hex"])
+        return Keyword(m[kind].decode())
 
     def value(self, depth: int = 0):
         """The next object; END at the end of data, a Keyword where no object stands."""
