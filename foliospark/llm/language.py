@@ -215,30 +215,50 @@ def train(pages: DataFrame, text: str = "text", lang: str = "lang", key: str = "
 
 
 class Scorer:
+    """Logits of whole pages at a time: one table row for each distinct word met so far."""
+
+    MOST_WORDS = 1 << 18
+
     def __init__(self, model: Model):
         self.model, self.norm = model, normaliser(_FORM)
         self.share = model.word_logits().astype(np.float64)
-        self.known: dict[str, tuple[np.ndarray, int]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.table = np.zeros((4096, len(LANGUAGES) + 1))  # summed logits, and how many subwords
 
-    def _word(self, word: str) -> tuple[np.ndarray, int]:
+    def _row(self, word: str) -> int:
+        at = len(self.rows)
+        if at == len(self.table):
+            self.table = np.vstack([self.table, np.zeros_like(self.table)])
         ids = subwords(word)
-        if len(self.known) > 300_000:
-            self.known.clear()
-        found = self.known[word] = (self.share[ids].sum(0), len(ids))
-        return found
+        self.table[at, :-1], self.table[at, -1] = self.share[ids].sum(0), len(ids)
+        self.rows[word] = at
+        return at
+
+    def sentences(self, texts: list[str]) -> list[tuple[str, float]]:
+        """(language, confidence) of each sentence."""
+        out = [(UNDETERMINED, 0.0)] * len(texts)
+        if len(self.rows) > self.MOST_WORDS:
+            self._forget()
+        ids, starts, which = [], [], []
+        for number, sentence in enumerate(texts):
+            tokens = _tokens(sentence, self.norm)
+            if len(tokens) >= MIN_WORDS and sum(map(len, tokens)) >= MIN_LETTERS:
+                starts.append(len(ids))
+                which.append(number)
+                ids += [row if (row := self.rows.get(t)) is not None else self._row(t) for t in tokens]
+        if which:
+            total = np.add.reduceat(self.table[ids], starts)
+            p = _softmax((total[:, :-1] / total[:, -1:] + self.model.bias) / self.model.temperature)
+            best, sure = p.argmax(1).tolist(), p.max(1).tolist()
+            for number, k, confidence in zip(which, best, sure):
+                out[number] = (LANGUAGES[k] if confidence >= self.model.reject else UNDETERMINED, confidence)
+        return out
 
     def segment(self, sentence: str) -> tuple[str, float]:
-        tokens = _tokens(sentence, self.norm)
-        if len(tokens) < MIN_WORDS or sum(map(len, tokens)) < MIN_LETTERS:
-            return UNDETERMINED, 0.0
-        total, n = np.zeros(len(LANGUAGES)), 0
-        for t in tokens:
-            share, k = self.known.get(t) or self._word(t)
-            total = total + share
-            n += k
-        p = _softmax(((total / n + self.model.bias) / self.model.temperature)[None, :])[0]
-        best = int(p.argmax())
-        return (LANGUAGES[best] if p[best] >= self.model.reject else UNDETERMINED), float(p[best])
+        return self.sentences([sentence])[0]
 
     def page(self, text: str) -> tuple[list[tuple[str, float, str]], list[tuple[str, float, float]]]:
         """(segments, languages): runs of one language, and per language (code, share of letters, confidence)."""
@@ -246,8 +266,7 @@ class Scorer:
         weight, trust = defaultdict(float), defaultdict(float)
         sentences = segments(text)
         closed = any(_END.search(s) for s in sentences)
-        for sentence in sentences:
-            lang, confidence = self.segment(sentence)
+        for sentence, (lang, confidence) in zip(sentences, self.sentences(sentences)):
             letters = sum(c.isalpha() for c in sentence)
             # Beside whole sentences, a rest without sentence mark may be a running line: it is no evidence.
             if lang != UNDETERMINED and (not closed or _END.search(sentence)):
