@@ -438,7 +438,20 @@ class Font:
         return text, width, size == 1 and code == 32, metrics
 
 
+#: Fonts that their dictionary alone describes, by its entries: many files name the same few.
+_BARE: dict[tuple, Font] = {}
+MOST_BARE = 256
+
+
 def load(file: File, info: dict, resolve=None, collections=None) -> Font:
+    if set(info) <= {"Type", "Subtype", "BaseFont", "Encoding", "Name"} and all(isinstance(v, Name) for v in info.values()) and info.get("Subtype") in ("Type1", "TrueType"):
+        key = tuple(str(info.get(k)) for k in ("Subtype", "BaseFont", "Encoding"))
+        font = _BARE.get(key)
+        if font is None:
+            if len(_BARE) >= MOST_BARE:
+                _BARE.clear()
+            font = _BARE[key] = _simple(file, info, False, resolve)
+        return font
     subtype = file.key(info, "Subtype")
     return _composite(file, info, resolve, collections) if subtype == "Type0" else _simple(file, info, subtype == "Type3", resolve)
 

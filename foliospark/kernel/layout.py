@@ -245,8 +245,10 @@ class Layout:
     def same_place(self, i: int, j: int, dx: float, dy: float) -> bool:
         """Whether glyph j repeats glyph i."""
         g = self.g
+        if g.text[i] != g.text[j]:
+            return False
         em = self.em[i]
-        if g.text[i] != g.text[j] or abs(g.size[i] - g.size[j]) > COPY_ALONG * em:
+        if abs(g.size[i] - g.size[j]) > COPY_ALONG * em:
             return False
         along = COPY_ALONG * em
         if self.width[i] > 0:
@@ -261,6 +263,15 @@ class Layout:
         reach = COPY_ALONG * self.em[line.at]
         if bool((start[1:] - start[:-1] > reach[1:]).all()):
             return  # no two glyphs are close enough
+        if len(start) < 3 or bool((start[2:] - start[:-2] > reach[2:]).all()):
+            # Copies can only be direct neighbours, as in bold type painted twice.
+            close = np.flatnonzero(start[1:] - start[:-1] <= reach[1:]) + 1
+            gone: set[int] = set()
+            for k in close.tolist():
+                if k - 1 not in gone and self.same_place(line.at[k - 1], line.at[k], line.dx, line.dy):
+                    gone.add(k if line.at[k] > line.at[k - 1] else k - 1)
+            line.at = [i for k, i in enumerate(line.at) if k not in gone]
+            return
         kept: list[int] = []
         places: list[float] = []
         for k, i in enumerate(line.at):
