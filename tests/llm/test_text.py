@@ -1,6 +1,7 @@
 """Look-alikes, garbled encodings, languages, leakage, mixing and truncation."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -245,6 +246,22 @@ def test_finished():
     assert all(map(truncation.finished, whole)) and not any(map(truncation.finished, broken))
 
 
+def test_cuts_inside_a_statement_with_balanced_brackets(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(900):
+        text = source_file(rng)
+        if i % 60 == 0:  # after the dot of a name known from before, before the call
+            at = [m.end() for m in re.finditer(r"\.(?=get|append|debug)", text)]
+            text = text[: rng.choice(at)]
+        rows.append((i, text, "python", "s", len(text), i % 60 == 0))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint, truth boolean")
+    marked = truncation.scored(df, *truncation.train(df)).collect()
+    assert sum(r.cut for r in marked if r.truth) >= 0.8 * 15 and not any(r.cut for r in marked if not r.truth)
+    assert truncation.ending("x = item\nitem.") == truncation.ending("item = 1\n    item") == truncation.OPEN
+    assert truncation.ending("a = 3\nb = a - 3") == truncation.PLAUSIBLE and truncation.ending("a = 3\nb = a - 3\n") == truncation.COMPLETE
+
+
 def test_counts_of_interior_contexts():
     text = b"abcabcab"
     tables = np.zeros((len(truncation.ORDERS), truncation.CELLS), np.int64)
