@@ -5,7 +5,7 @@ legal form, abbreviation, edition, one-letter slips — and each rewriting is a
 form.  Forms are exploded and equi-joined; how rare a rewriting is decides what
 it may prove: a nickname, an initial or a dropped edition links only where a
 single fuller spelling has that form, and a one-letter slip is none between two
-tokens that are each common.  Linked spellings are then joined to components
+tokens of which neither is rare beside the other.  Linked spellings are then joined to components
 (persons known only by initials are attached last).
 
 Everything works on distinct spellings, so a spelling that fills a third of all
@@ -201,8 +201,10 @@ def _one_slip(a, b):
     return (distance == 1) | ((distance == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-#: A token found in so many distinct keys is common, and no slip of another common one.
+#: A token in so many distinct keys is common, and a slip of another common one only if it
+#: has at most one row for each SLIP_SHARE of the other's: a share that no input size changes.
 COMMON = 5
+SLIP_SHARE = 20
 
 
 def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer")) -> DataFrame:
@@ -217,11 +219,12 @@ def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer
     weak = weak.join(keys.select("field", F.col("key").alias("b")), ["field", "b"], "left_semi")
     weak = weak.groupBy("field", "a").agg(F.count(F.lit(1)).alias("c"), F.min("b").alias("b")).where("c = 1").select("field", "a", "b")
 
-    tokens = keys.select("field", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg((F.count(F.lit(1)) >= COMMON).alias("common"))
+    tokens = keys.select("field", "n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg((F.count(F.lit(1)) >= COMMON).alias("common"), F.sum("n").alias("rows"))
     slips = keyed.select("field", "key", "kind", F.explode("slips").alias("s")).select("field", "key", "s.form", "s.token").distinct()
     slips = slips.join(tokens, ["field", "token"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    right = slips.select("field", "form", F.col("key").alias("b"), F.col("token").alias("t2"), F.col("common").alias("c2"))
-    pairs = slips.join(right, ["field", "form"]).where((F.col("key") < F.col("b")) & (F.col("token") != F.col("t2")) & ~(F.col("common") & F.col("c2")) & _one_slip("token", "t2"))
+    right = slips.select("field", "form", F.col("key").alias("b"), F.col("token").alias("t2"), F.col("common").alias("c2"), F.col("rows").alias("n2"))
+    rare = ~(F.col("common") & F.col("c2")) | (F.least("rows", "n2") * SLIP_SHARE <= F.greatest("rows", "n2"))
+    pairs = slips.join(right, ["field", "form"]).where((F.col("key") < F.col("b")) & (F.col("token") != F.col("t2")) & rare & _one_slip("token", "t2"))
     slip_edges = pairs.select("field", F.col("key").alias("a"), "b")
 
     shorts = keyed.select("field", "key", "n", F.explode("shorts").alias("s")).select("field", "key", "n", "s.form", "s.token").groupBy("field", "key", "form", "token").agg(F.sum("n").alias("n"))

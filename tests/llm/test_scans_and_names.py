@@ -103,6 +103,17 @@ def test_people(spark):
     assert {frozenset(robert), frozenset(zoe), frozenset(double), frozenset(lone)} <= got
 
 
+@pytest.mark.parametrize("times", [1, 100])
+def test_slips_link_at_every_size(spark, times):
+    rng = random.Random(3)
+    surnames = ["".join(rng.choice("bdfgklmnprstvz") + rng.choice("aeiou") for _ in range(5)) for _ in range(25 * times)]
+    slipped = surnames[:times]
+    names = [("author", f"{g} {s}", 2) for s in surnames for g in ("Dorothea", "Ludmila", "Ludmilo")] + [("author", f"Doothea {s}", 1) for s in slipped]
+    groups = {n: g for g in linked(spark, names) for n in g}
+    assert all(f"Doothea {s}" in groups[f"Dorothea {s}"] for s in slipped)
+    assert not any(f"Ludmilo {s}" in groups[f"Ludmila {s}"] for s in surnames)  # both common: two names
+
+
 def test_ambiguous_initials_link_nobody(spark):
     got = linked(spark, [("author", n, 1) for n in ("Anna Velt", "Alma Velt", "A. Velt", "Velt, A.")])
     assert frozenset({"A. Velt", "Velt, A."}) in got and frozenset({"Anna Velt"}) in got
