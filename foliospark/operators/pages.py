@@ -108,20 +108,33 @@ def _texts(held: pa.Table, starts: list[int], options: Options) -> pa.RecordBatc
 
 
 def without_repeats(glyphs: DataFrame) -> DataFrame:
-    """Glyph rows with copies painted at one place left out (first drawn kept), for upright text.
+    """Glyph rows with copies painted at one place left out (first drawn kept), for text in any direction.
 
-    Glyphs meet only others of their page, text and place cell: a grid join on
-    neighbouring cells instead of all pairs of a page.
+    Places are compared along and across the later glyph's direction (upright
+    where there is none).  Glyphs meet only others of their page, text, size
+    class and place cell: a grid whose cells grow with the size, joined on all
+    the cells a copy may lie in, instead of all pairs of a page.
     """
     g = glyphs.where("text is not null").dropDuplicates(["doc_id", "page", "idx"])
-    em = F.greatest(F.col("size"), F.lit(1.0))
-    g = g.withColumn("reach", F.when(F.abs("advance") > 0, F.least(em * 0.1, F.abs("advance") / 3)).otherwise(em * 0.1)).withColumn("cell", F.floor(F.col("x") / 4).cast("bigint"))
-    near = F.explode(F.array(F.col("cell") - 1, F.col("cell"), F.col("cell") + 1))
-    first = g.select("doc_id", "page", "text", near.alias("cell"), F.col("idx").alias("i0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("size").alias("s0"), F.col("reach").alias("r0"))
-    later = g.join(first, ["doc_id", "page", "text", "cell"]).where(
-        (F.col("i0") < F.col("idx")) & (F.abs(F.col("x") - F.col("x0")) <= F.col("r0")) & (F.abs(F.col("y") - F.col("y0")) <= 0.2 * F.greatest("s0", F.lit(1.0))) & (F.abs(F.col("size") - F.col("s0")) <= 0.1 * F.greatest("s0", F.lit(1.0)))
+    em = F.least(F.greatest(F.col("size"), F.lit(1.0)), F.lit(1e9))
+    side = lambda level: F.pow(F.lit(2.0), level) / 2
+    level = lambda c: F.floor(F.log2(c))
+    dx, dy = (F.col("dir.x"), F.col("dir.y")) if "dir" in glyphs.columns else (F.lit(1.0), F.lit(0.0))
+    length = F.sqrt(dx * dx + dy * dy)
+    unit = lambda c, default: F.when(length > 1e-9, c / length).otherwise(default)
+    placed = g.select("doc_id", "page", "text", "idx", "x", "y", "size", "advance", em.alias("em"), unit(dx, 1.0).alias("dx"), unit(dy, 0.0).alias("dy"))
+    g2 = placed.withColumn("level", level("em")).withColumn("cell", F.floor(F.col("x") / side("level")))
+    reach = F.when(F.abs("advance") > 0, F.least(F.col("em") * 0.1, F.abs("advance") / 3)).otherwise(F.col("em") * 0.1)
+    first = placed.select("doc_id", "page", "text", F.col("idx").alias("i0"), F.col("x").alias("x0"), F.col("y").alias("y0"), F.col("size").alias("s0"), F.col("em").alias("e0"), reach.alias("r0"))
+    # Copies have a size within a tenth, and lie within the diagonal of 0.1 x 0.2 of it.
+    first = first.withColumn("level", F.explode(F.sequence(level(F.greatest(F.col("e0") * 0.89, F.lit(1.0))), level(F.col("e0") * 1.11))))
+    first = first.withColumn("cell", F.explode(F.sequence(F.floor((F.col("x0") - 0.23 * F.col("e0")) / side("level")), F.floor((F.col("x0") + 0.23 * F.col("e0")) / side("level")))))
+    px, py = F.col("x") - F.col("x0"), F.col("y") - F.col("y0")
+    along, across = px * F.col("dx") + py * F.col("dy"), py * F.col("dx") - px * F.col("dy")
+    later = g2.join(first, ["doc_id", "page", "text", "level", "cell"]).where(
+        (F.col("i0") < F.col("idx")) & (F.abs(along) <= F.col("r0")) & (F.abs(across) <= 0.2 * F.col("e0")) & (F.abs(F.col("size") - F.col("s0")) <= 0.1 * F.col("e0"))
     )
-    return g.join(later.select("doc_id", "page", "idx").distinct(), ["doc_id", "page", "idx"], "left_anti").drop("reach", "cell")
+    return g.join(later.select("doc_id", "page", "idx").distinct(), ["doc_id", "page", "idx"], "left_anti")
 
 
 def ocr_selected(pages: DataFrame, policy: str = "textless", n_glyphs: str = "n_glyphs", images: str = "image_count") -> DataFrame:

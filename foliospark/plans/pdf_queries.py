@@ -225,7 +225,7 @@ def stored_glyph_text(spark, sf_dir):
 
 @query("glyphs_without_repeats")
 def glyphs_without_repeats(spark, sf_dir):
-    kept = page_operators.without_repeats(table(spark, sf_dir, "pdf_glyphs").where("dir is null"))
+    kept = page_operators.without_repeats(table(spark, sf_dir, "pdf_glyphs"))
     return kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
 
 

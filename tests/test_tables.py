@@ -98,6 +98,17 @@ def test_native_text(spark):
     assert [tuple(r) for r in flags] == [(True, False), (True, False), (False, False), (False, True), (False, False)]
 
 
+def test_repeats_of_rotated_and_large_glyphs(spark):
+    up, aside = {"x": 0.0, "y": 2.0}, None
+    rows = [
+        (1, 0, "a", 100.0, 200.0, 5.0, 10.0, up), (1, 1, "a", 100.0, 205.0, 5.0, 10.0, up), (1, 2, "a", 101.5, 200.5, 5.0, 10.0, up),  # 2 copies 0
+        (2, 0, "T", 100.0, 300.0, 90.0, 100.0, aside), (2, 1, "T", 109.0, 300.0, 90.0, 100.0, aside), (2, 2, "T", 111.0, 300.0, 90.0, 100.0, aside), (2, 3, "T", 91.5, 318.0, 90.0, 108.0, aside),  # 1 and 3 copy 0, 2 copies 1
+        (3, 0, "b", 100.0, 100.0, 6.0, 10.0, aside), (3, 1, "b", 100.5, 102.0, 6.0, 10.0, up), (3, 2, "b", None, 100.0, 6.0, 10.0, up),  # along its own direction 1 is too far
+    ]
+    g = spark.createDataFrame([(1, *r) for r in rows], "doc_id bigint, page int, idx int, text string, x double, y double, advance double, size double, dir struct<x: double, y: double>")
+    assert sorted((r.page, r.idx) for r in pages.without_repeats(g).collect()) == [(1, 0), (1, 1), (2, 0), (3, 0), (3, 1), (3, 2)]
+
+
 def test_repeats_ocr_and_intervals(spark):
     rows = [(1, 1, i, t, px, 700.0, 5.0, 10.0) for i, (t, px) in enumerate([("a", 72.0), ("b", 77.0), ("a", 72.3), ("b", 99.0)])]
     g = spark.createDataFrame(rows, "doc_id bigint, page int, idx int, text string, x double, y double, advance double, size double")
