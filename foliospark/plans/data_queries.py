@@ -25,6 +25,14 @@ def p3_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bridge.select("record_id", "entity", "path", "parent_path", "depth", "ordinal", "node", "parent_node")
 
 
+def p3_attributes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.attribute_rows(nested.bridge_rows(table(spark, sf_dir, "pdf_outlines")))
+
+
+def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested.record_rows(table(spark, sf_dir, "pdf_outlines"))
+
+
 def p3_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.payload_status(table(spark, sf_dir, "pdf_outlines"))
 
@@ -34,4 +42,50 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dates.select("doc_id", "field", "utc")
 
 
-QUERIES = {"p3_found": p3_found, "p3_bridge": p3_bridge, "p3_objects": p3_objects, "p3_edges": p3_edges, "p3_status": p3_status, "p6_found": p6_found}
+QUERIES = {"p3_found": p3_found, "p3_bridge": p3_bridge, "p3_objects": p3_objects, "p3_edges": p3_edges, "p3_attributes": p3_attributes, "p3_records": p3_records, "p3_status": p3_status, "p6_found": p6_found}
+
+# Trees by recursion over what is still to be opened: wrappers, lists (or what stands for one), bookmarks.
+_KEY = "list_filter(json_keys(j), lambda k: lower(k) IN ({names}) AND json_type(json_extract(j, '/' || k)) <> 'NULL')[1]"
+_ROOT, _KIDS, _DEST = (_KEY.format(names=names) for names in ("'outlines', 'outline', 'bookmarks'", "'children', 'kids'", "'destination', 'dest'"))
+_TREES = f"""
+WITH RECURSIVE r AS (SELECT record_id, min(payload) AS p FROM pdf_outlines WHERE record_id IS NOT NULL GROUP BY 1),
+node(record_id, path, parent_path, kind, j) AS (
+  SELECT record_id, '', '', CASE WHEN json_valid(p) THEN 'top' ELSE 'bad' END, CASE WHEN json_valid(p) THEN p::JSON END FROM r WHERE trim(p) <> ''
+  UNION ALL
+  SELECT record_id, e.path, e.parent_path, e.kind, e.j FROM (
+    SELECT record_id, unnest(CASE
+      WHEN kind IN ('top', 'kids') AND json_type(j) = 'VARCHAR' THEN
+        CASE WHEN trim(j->>'$') = '' THEN [] WHEN json_valid(j->>'$') THEN [{{'path': path, 'parent_path': '', 'kind': kind, 'j': (j->>'$')::JSON}}] ELSE [{{'path': path, 'parent_path': '', 'kind': 'bad', 'j': NULL}}] END
+      WHEN kind = 'top' AND json_type(j) = 'OBJECT' AND {_ROOT} IS NOT NULL THEN [{{'path': '', 'parent_path': '', 'kind': 'top', 'j': json_extract(j, '/' || {_ROOT})}}]
+      WHEN kind = 'top' AND json_type(j) = 'OBJECT' AND len(list_filter(json_keys(j), lambda k: lower(k) IN ('outlines', 'outline', 'bookmarks'))) > 0 THEN []
+      WHEN kind = 'top' AND json_type(j) = 'OBJECT' AND len(list_filter(json_keys(j), lambda k: lower(k) IN ('title', 'destination', 'dest', 'children', 'kids') OR regexp_full_match(k, '[0-9]+'))) = 0 THEN
+        list_transform(list_filter(json_keys(j), lambda k: json_type(json_extract(j, '/' || k)) = 'OBJECT')[1:1], lambda k: {{'path': '', 'parent_path': '', 'kind': 'top', 'j': json_extract(j, '/' || k)}})
+      WHEN kind = 'top' THEN [{{'path': '', 'parent_path': '', 'kind': 'kids', 'j': j}}]
+      WHEN kind = 'kids' THEN list_transform(range(len(xs)), lambda i: {{'path': CASE WHEN path = '' THEN '' ELSE path || '.' END || i, 'parent_path': path, 'kind': 'item', 'j': xs[i + 1]}})
+      WHEN kind = 'item' AND {_KIDS} IS NOT NULL THEN [{{'path': path, 'parent_path': '', 'kind': 'kids', 'j': json_extract(j, '/' || {_KIDS})}}]
+      ELSE [] END) AS e
+    FROM (SELECT *, list_filter(CASE
+        WHEN kind <> 'kids' THEN [] WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') WHEN json_type(j) <> 'OBJECT' OR len(json_keys(j)) = 0 THEN []
+        WHEN len(list_filter(json_keys(j), lambda k: NOT regexp_full_match(k, '[0-9]+'))) = 0 THEN list_transform(list_sort(list_transform(json_keys(j), lambda k: k::BIGINT)), lambda k: json_extract(j, '/' || k))
+        ELSE [j] END, lambda x: json_type(x) = 'OBJECT') AS xs FROM node)
+  )
+),
+bad AS (SELECT DISTINCT record_id FROM node WHERE kind = 'bad'),
+item AS (SELECT * FROM node WHERE kind = 'item' AND record_id NOT IN (SELECT record_id FROM bad)),
+place AS (SELECT record_id, path, CASE WHEN json_type(d) = 'VARCHAR' AND regexp_matches(trim(d->>'$'), '^[{{\\[]') AND json_valid(d->>'$') THEN (d->>'$')::JSON ELSE d END AS d
+          FROM (SELECT record_id, path, json_extract(j, '/' || {_DEST}) AS d FROM item)),
+named AS (SELECT record_id, path,
+            CASE json_type(d) WHEN 'VARCHAR' THEN d->>'$' WHEN 'OBJECT' THEN json_extract_string(d, '/' || list_filter(json_keys(d), lambda k: lower(k) = 'name')[1])
+              WHEN 'ARRAY' THEN CASE WHEN json_type(d->0) = 'VARCHAR' AND try_cast(d->>0 AS DOUBLE) IS NULL THEN d->>0 END END AS name,
+            try_cast(CASE json_type(d) WHEN 'OBJECT' THEN json_extract_string(d, '/' || list_filter(json_keys(d), lambda k: lower(k) = 'page')[1]) WHEN 'ARRAY' THEN d->>0 WHEN 'VARCHAR' THEN NULL ELSE d->>'$' END AS DOUBLE) AS page
+          FROM place WHERE d IS NOT NULL)
+"""
+
+SQL = {
+    "p3_found": _TREES + "SELECT record_id, 'outline' AS entity, path, parent_path FROM item UNION ALL SELECT record_id, 'destination', path, path FROM named WHERE trim(coalesce(name, '')) <> '' OR page >= 1",
+    "p3_status": _TREES
+    + """SELECT r.record_id, r.p IS NOT NULL AND trim(r.p) <> '' AND r.record_id NOT IN (SELECT record_id FROM bad) AS readable,
+       coalesce(i.n, 0)::INTEGER AS n_outlines, coalesce(d.n, 0)::INTEGER AS n_destinations
+FROM r LEFT JOIN (SELECT record_id, count(*) AS n FROM item GROUP BY 1) i USING (record_id)
+       LEFT JOIN (SELECT record_id, count(*) AS n FROM named WHERE trim(coalesce(name, '')) <> '' OR page >= 1 GROUP BY 1) d USING (record_id)""",
+}

@@ -1,6 +1,7 @@
 """Nested records and dates against brute force."""
 
 import json
+import random
 from datetime import datetime, timezone
 from zoneinfo import ZoneInfo
 
@@ -99,3 +100,61 @@ def test_deliveries_and_unknown_collections(spark):
     rows = {(r.doc_id, r.field): r.utc for r in timestamps.normalise_dates(meta, collections).collect()}
     assert rows == {(1, "creation_date"): "2017-01-01 00:00:00", (2, "creation_date"): "unresolved", (2, "modified_date"): "2016-01-01 00:00:00"}
     assert timestamps.normalise_dates(meta.limit(0), collections).count() == 0
+
+
+def test_nesting_has_no_bound():
+    levels = 20_000
+    deep = '[{"Title": "t", "Children": ' * levels + "[]" + "}]" * levels
+    tree = nested.Tree(deep)
+    assert len(tree.parent) == levels and tree.depth[-1] == levels - 1
+    last = None
+    for last in tree.rows(1):  # paths are written one at a time
+        pass
+    assert last[2].count(".") == levels - 1 and len(last[2]) == 2 * levels - 1
+    wrapped = '{"doc": ' * 3000 + '{"Outlines": [{"Title": "in"}]}' + "}" * 3000
+    assert [r[8] for r in nested.flatten(1, wrapped)] == ["in"]
+    inside = '{"Outlines": [{"Title": "x", "Extra": ' + '{"k": [' * 3000 + "1" + "]}" * 3000 + "}]}"
+    assert nested.flatten(1, inside)[0][15] == [("extra", '{"k":[' * 3000 + "1" + "]}" * 3000)]
+    for broken in (deep[:-1], deep + "x", deep.replace("[]", "[,]"), deep.replace("[]", "NaN"), deep.replace("[]", '{"a" 1}')):
+        try:
+            nested.Tree(broken)
+            raise AssertionError(broken[-20:])
+        except nested.Malformed:
+            pass
+
+
+def test_deep_parser_reads_what_the_library_reads():
+    rng = random.Random(8)
+
+    def some(depth):
+        kind = rng.randrange(8 if depth < 5 else 5)
+        if kind < 5:
+            return (None, True, rng.randint(-99, 99), rng.random() * 1e9, 'ö\n"\\' * rng.randint(0, 3))[kind]
+        return [some(depth + 1) for _ in range(rng.randint(0, 3))] if kind == 5 else {f"k{i}": some(depth + 1) for i in range(rng.randint(0, 3))}
+
+    for _ in range(300):
+        value = some(0)
+        text = json.dumps(value, indent=rng.choice([None, 1]), ensure_ascii=rng.random() < 0.5)
+        assert nested._loads_deep(f" {text}\n") == value
+        at = rng.randrange(len(text))
+        broken = text[:at] + rng.choice('[]{},:"x1 ') + text[at + 1 :]
+        try:
+            want = nested._DECODER.decode(broken)
+        except ValueError:
+            want = nested.Malformed
+        try:
+            got = nested._loads_deep(broken)
+        except nested.Malformed:
+            got = nested.Malformed
+        assert got == want, broken
+
+
+def test_attributes_are_part_of_identity_and_have_rows(spark):
+    a = '{"pageCount": 3, "Outlines": [{"Title": "x", "Count": 4, "Dest": {"Page": 2, "Fit": "XYZ"}}, {"title": "x", "count": 4, "dest": {"page": 2, "fit": "XYZ"}}, {"title": "x", "count": 5, "dest": {"page": 2, "fit": "XYZ"}}]}'
+    nodes = [r[6] for r in nested.flatten(1, a) if r[1] == "outline"]
+    assert nodes[0] == nodes[1] != nodes[2]
+    df = outlines(spark, [(1, a, 5), (1, a, 5), (2, a.replace("3", "7"), 5), (3, "[", 5)])
+    rows = {(r.entity, r.name, r.value, r.occurrences) for r in nested.attribute_rows(nested.bridge_rows(df)).collect()}
+    assert rows == {("outline", "count", "4", 4), ("outline", "count", "5", 2), ("destination", "fit", '"XYZ"', 6)}
+    records = {r.record_id: (r.node, r.n_top, [(x.name, x.value) for x in r.attributes]) for r in nested.record_rows(df).collect()}
+    assert records[1][1:] == (3, [("pagecount", "3")]) and records[2][1:] == (3, [("pagecount", "7")]) and records[1][0] != records[2][0] and len(records) == 2
