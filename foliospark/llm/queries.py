@@ -83,8 +83,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
-    interior, final = truncation.train(documents)
-    return truncation.scored(documents.select("doc_id", "source", "lang", "n_chars", "text"), interior, final)
+    return truncation.scored(documents.select("doc_id", "source", "lang", "n_chars", "text"), *truncation.train(documents))
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

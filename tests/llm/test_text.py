@@ -263,8 +263,51 @@ def test_cuts_inside_a_statement_with_balanced_brackets(spark):
 
 
 def test_counts_of_interior_contexts():
-    text = b"abcabcab"
-    tables = np.zeros((len(truncation.ORDERS), truncation.CELLS), np.int64)
-    truncation.interior_counts(np.frombuffer(text, np.uint8), np.array([len(text) - 1]), tables)
-    cells, there = truncation.context_cells([b"ab", b"b"])
-    assert tables[1, cells[0, 1]] == 2 and tables[0].sum() == 7 and there[1, :2].tolist() == [True, False]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("ab\n c", k=rng.randint(1, 60))) for _ in range(80)]
+    raw = [t.encode() for t in texts]
+    whole = {n: [r[max(0, i - n + 1) : i + 1] for r in raw for i in range(len(r) - 1) if r[i] not in b" \t" and i + 1 >= n] for n in truncation.ORDERS}
+    ends = [r for r in raw]
+    keys, there = truncation.context_keys(ends)
+    kept = [np.unique(keys[there[:, row], row]) for row in range(len(truncation.ORDERS))]
+    contexts = truncation.Contexts(kept)
+    counts = [np.zeros(len(k), np.int64) for k in kept]
+    data = b"".join(raw)
+    places = truncation.interior_counts(np.frombuffer(data, np.uint8), np.cumsum([len(r) for r in raw]) - 1, contexts, counts)
+    assert places == len(whole[1])
+    for row, n in enumerate(truncation.ORDERS):
+        for key in kept[row]:
+            (context,) = {e[-n:] for e, k, t in zip(ends, keys[:, row], there[:, row]) if t and k == key}
+            assert counts[row][np.searchsorted(kept[row], key)] == whole[n].count(context)
+    assert truncation.interior_counts(np.zeros(0, np.uint8), np.zeros(0, np.int64), contexts, counts) == 0
+
+
+def test_thresholds_lie_between_whole_and_cut_ends():
+    bins, rng = truncation._bin(truncation.HIGHEST) + 1, np.random.default_rng(2)
+    given, cuts = np.zeros((4, bins)), np.zeros((4, bins))
+    for o in rng.normal(4, 1, 60):
+        given[0, truncation._bin(o)] += 1
+    for o in rng.normal(-4, 1, 1000):
+        given[3, truncation._bin(o)] += 1
+    for o in rng.normal(4, 1, 4000):
+        cuts[0, truncation._bin(o)] += 1
+    found = {how: truncation.LOWEST + at * truncation.BIN for how, at in truncation.fewest_errors(given, cuts).items()}
+    assert -3 < found[0] < 2.5 and found[3] > -1 and 1 not in found
+
+
+def test_a_part_is_judged_alike_beside_much_more(spark):
+    rng = random.Random(6)
+
+    def inside(text):  # behind a character of a line, not behind a whole one
+        return text[: rng.choice([i for i in range(60, len(text) - 12) if not text[i - 1].isspace() and text[i] != "\n"])]
+
+    part = [(i, source_file(rng)) for i in range(2400)]
+    part = [(i, inside(t) if i % 10 == 0 else t) for i, t in part]
+    rest = [(10_000 + i, source_file(rng)) for i in range(24_000)]
+    rest = [(i, inside(t) if i % 10 == 0 else t) for i, t in rest]
+    cut = []
+    for rows in (part, part + rest):
+        df = spark.createDataFrame([(i, t, "python") for i, t in rows], "doc_id bigint, text string, lang string")
+        cut.append({r.doc_id for r in truncation.scored(df, *truncation.train(df)).where("cut and doc_id < 10000").collect()})
+    truth = {i for i, _ in part if i % 10 == 0}
+    assert all(len(c & truth) >= 0.85 * len(truth) and len(c - truth) <= 12 for c in cut) and len(cut[0] ^ cut[1]) <= 24, [(len(c & truth), len(c - truth)) for c in cut]
