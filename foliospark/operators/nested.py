@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TITLE, DEST, KIDS = ("title",), ("destination", "dest"), ("children", "kids")
+PLACE = ("name", "page", "x", "y", "zoom")
 ROOTS = ("outlines", "outline", "bookmarks")
 #: Rows, and characters of paths, after which a batch of rows is handed on.
 BATCH_ROWS, BATCH_CHARS = 50_000, 16_000_000
@@ -193,6 +194,26 @@ def _field(obj: dict, names: tuple[str, ...]):
     return None, None
 
 
+_ROLES = {name: role for role, names in enumerate((TITLE, DEST, KIDS)) for name in names}
+
+
+def _parts(obj: dict) -> tuple[list, list[tuple[str, object]]]:
+    """([title, destination, children], everything else): one pass over the keys of a bookmark."""
+    found, rest = [None, None, None], []
+    for key, value in obj.items():
+        role = _ROLES.get(key)
+        if role is None:
+            role = _ROLES.get(key.lower())
+        if role is None:
+            rest.append((key, value))
+        elif value is not None:
+            if found[role] is None:
+                found[role] = value
+            else:  # a second spelling
+                rest.append((key, value))
+    return found, rest
+
+
 def _attributes(obj: dict, used: set[str | None], drop: tuple[str, ...] = ()) -> list[tuple[str, str]]:
     """(key in lower case, canonical value) of what is not in ``used``; NULLs under the names in ``drop`` say nothing."""
     found = []
@@ -274,14 +295,17 @@ def _destination(value) -> tuple[tuple[str | None, int | None, float | None, flo
     if isinstance(value, str):
         name = value
     elif isinstance(value, dict):
-        picked = {}
-        for k in ("name", "page", "x", "y", "zoom"):
-            key, picked[k] = _field(value, (k,))
-            picked[k, "key"] = key
-        name = picked["name"]
+        picked: dict = dict.fromkeys(PLACE)
+        for key, v in value.items():
+            low = key.lower()
+            if low in picked and picked[low] is None:
+                picked[low] = v
+            elif v is not None or low not in picked:
+                beside.append((low, canonical_json(v)))
+        name, page, x, y, zoom = picked.values()
         name = None if name is None else name if isinstance(name, str) else canonical_json(name)
-        page, x, y, zoom = (_number(picked[k]) for k in ("page", "x", "y", "zoom"))
-        beside = _attributes(value, {picked[k, "key"] for k in ("name", "page", "x", "y", "zoom")}, ("name", "page", "x", "y", "zoom"))
+        page, x, y, zoom = _number(page), _number(x), _number(y), _number(zoom)
+        beside.sort()
     elif isinstance(value, list) and value:
         if isinstance(value[0], str) and _number(value[0]) is None:
             name = value[0]
@@ -301,8 +325,11 @@ def _destination(value) -> tuple[tuple[str | None, int | None, float | None, flo
     return (name, None if page is None else int(page), x, y, zoom), beside
 
 
+_TEXT = json.JSONEncoder(ensure_ascii=True, separators=(",", ":")).encode
+
+
 def _hash(*parts) -> str:
-    return hashlib.blake2b(json.dumps(parts, ensure_ascii=True, separators=(",", ":")).encode(), digest_size=16).hexdigest()
+    return hashlib.blake2b(_TEXT(parts).encode(), digest_size=16).hexdigest()
 
 
 # ---- one payload ------------------------------------------------------------
@@ -323,17 +350,18 @@ class Tree:
         while stack:
             item, ordinal, parent, depth = stack.pop()
             at = len(self.parent)
-            (kt, title), (kd, dest), (kk, kids) = (_field(item, names) for names in (TITLE, DEST, KIDS))
-            place, beside = _destination(dest)
-            kids = _entries(kids)
+            (title, dest, kids), rest = _parts(item)
+            place, beside = (None, []) if dest is None else _destination(dest)
+            kids = [] if kids is None else _entries(kids)
+            if place is None and dest is not None and dest != "":
+                rest.append(("destination", dest))
             self.parent.append(parent)
             self.ordinal.append(ordinal)
             self.depth.append(depth)
             self.title.append(title if title is None or isinstance(title, str) else canonical_json(title))
             self.dest.append(place)
             self.dest_attributes.append(beside)
-            used = {kt, kk} | ({kd} if place or dest == "" else set())
-            self.attributes.append(_attributes(item, used, (*TITLE, *DEST, *KIDS)))
+            self.attributes.append(sorted((k.lower(), canonical_json(v)) for k, v in rest) if rest else rest)
             self.kids.append([])
             if parent is not None:
                 self.kids[parent].append(at)
@@ -374,7 +402,7 @@ _TYPES = {"record_id": pa.int64(), "depth": pa.int32(), "ordinal": pa.int32(), "
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(COLUMNS)
-    columns[-1] = [[{"name": k, "value": v} for k, v in pairs] for pairs in columns[-1]]
+    columns[-1] = [[{"name": k, "value": v} for k, v in pairs] if pairs else () for pairs in columns[-1]]
     return pa.RecordBatch.from_arrays([pa.array(list(c), _TYPES.get(n, pa.string())) for n, c in zip(COLUMNS, columns)], names=COLUMNS)
 
 
