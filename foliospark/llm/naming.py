@@ -201,10 +201,19 @@ def _one_slip(a, b):
     return (distance == 1) | ((distance == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
-#: A token in so many distinct keys is common, and a slip of another common one only if it
-#: has at most one row for each SLIP_SHARE of the other's: a share that no input size changes.
-COMMON = 5
-SLIP_SHARE = 20
+#: How often a token is slipped into one certain other, at most, as a share of its keys.
+SLIP_RATE = 0.05
+
+
+def _explained(fewer, more):
+    """Whether slips of the commoner token account for the other keys of the rarer one.
+
+    ``fewer`` and ``more`` count the keys each token has besides the pair's own.
+    What slips give is a share of the commoner's keys, with the spread of a rare
+    event, so the answer is one of proportions whatever the size of the table.
+    """
+    expected = more * SLIP_RATE
+    return fewer <= expected + 2 * F.sqrt(expected) + 1
 
 
 def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer")) -> DataFrame:
@@ -219,11 +228,11 @@ def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer
     weak = weak.join(keys.select("field", F.col("key").alias("b")), ["field", "b"], "left_semi")
     weak = weak.groupBy("field", "a").agg(F.count(F.lit(1)).alias("c"), F.min("b").alias("b")).where("c = 1").select("field", "a", "b")
 
-    tokens = keys.select("field", "n", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg((F.count(F.lit(1)) >= COMMON).alias("common"), F.sum("n").alias("rows"))
+    tokens = keys.select("field", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg((F.count(F.lit(1)) - 1).alias("others"))
     slips = keyed.select("field", "key", "kind", F.explode("slips").alias("s")).select("field", "key", "s.form", "s.token").distinct()
-    slips = slips.join(tokens, ["field", "token"], "left").withColumn("common", F.coalesce("common", F.lit(False)))
-    right = slips.select("field", "form", F.col("key").alias("b"), F.col("token").alias("t2"), F.col("common").alias("c2"), F.col("rows").alias("n2"))
-    rare = ~(F.col("common") & F.col("c2")) | (F.least("rows", "n2") * SLIP_SHARE <= F.greatest("rows", "n2"))
+    slips = slips.join(tokens, ["field", "token"], "left").withColumn("others", F.coalesce("others", F.lit(0)))
+    right = slips.select("field", "form", F.col("key").alias("b"), F.col("token").alias("t2"), F.col("others").alias("o2"))
+    rare = _explained(F.least("others", "o2"), F.greatest("others", "o2"))
     pairs = slips.join(right, ["field", "form"]).where((F.col("key") < F.col("b")) & (F.col("token") != F.col("t2")) & rare & _one_slip("token", "t2"))
     slip_edges = pairs.select("field", F.col("key").alias("a"), "b")
 
