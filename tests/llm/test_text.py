@@ -197,6 +197,15 @@ def test_mixture(spark):
     assert mixing.mixture(sized.limit(0), targets).count() == 0
 
 
+def test_shards_grow_with_a_source(spark):
+    sized = spark.range(40_000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'a', 'b') AS source", "100 + id % 57 AS n_tokens")
+    targets = spark.createDataFrame([("a", 0.5, 3), ("b", 0.5, 1)], "source string, target_share double, max_repeats int")
+    for shard_tokens in (10**9, 2_000):  # one shard a source, and over a thousand
+        mixed = mixing.mixture(sized, targets, block=128, shard_tokens=shard_tokens)
+        rows = {r.source: r for r in mixing.shares(mixed, targets).collect()}
+        assert abs(rows["a"].actual_share - 0.5) < 0.02 and rows["a"].most_uses <= 3 and rows["b"].most_uses == 1, shard_tokens
+
+
 def test_token_sizes(spark):
     docs = spark.createDataFrame([(1, "hello world <|endoftext|>", "a"), (1, "hello world <|endoftext|>", "a"), (2, "", "a"), (3, None, "a"), (4, "x", "other"), (5, "x", None)], "doc_id bigint, text string, source string")
     targets = spark.createDataFrame([("a",)], "source string")
