@@ -33,12 +33,39 @@ DEFAULT_IGNORABLE = (
     (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
 )
 
-# Letters of other scripts drawn like a Latin letter, and marks drawn alike.
+# Latin letters, and the letters of other scripts and letter-like signs that are drawn alike in print,
+# after the single-letter entries of the public table of confusable characters; letters it calls confusable that
+# readers tell apart (such as Cyrillic г and r) are left out.  Marks drawn alike at the end.
 LOOKALIKES = {
-    "АΑ": "A", "ВΒ": "B", "С": "C", "ЕΕ": "E", "НΗ": "H", "ІΙӀ": "I", "Ј": "J", "КΚK": "K", "МΜ": "M", "Ν": "N", "ОΟ": "O", "РΡ": "P", "Ѕ": "S", "ТΤ": "T", "ХΧ": "X", "Υ": "Y", "Ζ": "Z", "Ԛ": "Q", "Ԝ": "W", "Ԍ": "G",
-    "а": "a", "сϲ": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "јϳ": "j", "оο": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "х": "x", "ԝ": "w",
-    "‐‑": "-",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "ԌᏀ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈᎫ", "K": "КΚKᏦ", "L": "Ꮮ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "S": "ЅՏᏚ", "T": "ТΤᎢ", "V": "ѴᏙ", "W": "ԜᎳ", "X": "ХΧ", "Y": "ҮΥ", "Z": "ΖᏃ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "іιı", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "х", "y": "у",
+    "-": "‐‑",
 }
+#: A unit sign, whose capital is drawn like M.
+_NOT_FOLDED = "μ"
+
+
+def _script(letter: str) -> str:
+    return unicodedata.name(letter, "").split(" ")[0]
+
+
+def lookalikes(fold_case: bool) -> dict[int, str]:
+    """Letter to the Latin letter drawn alike.
+
+    Under folded case a capital's look also links the small letters, or words in
+    capitals and the same words in small letters would part; unless another small
+    letter of the same script already has that look, or the small letter has one
+    of its own.
+    """
+    if not fold_case:
+        return {ord(c): to for to, letters in LOOKALIKES.items() for c in letters}
+    folded = {c: to.lower() for to, letters in LOOKALIKES.items() for c in letters if c == c.casefold() and not to.isupper()}
+    taken = {(_script(c), to) for c, to in folded.items()}
+    for to, letters in LOOKALIKES.items():
+        for small in (c.casefold() for c in letters if to.isupper()):
+            if small not in folded and small not in _NOT_FOLDED and not small.isascii() and (_script(small), to.lower()) not in taken:
+                folded[small] = to.lower()
+    return {ord(c): to for c, to in folded.items()}
 
 
 @dataclass(frozen=True)
@@ -80,10 +107,8 @@ def _styles() -> dict[int, str]:
 
 @lru_cache(maxsize=8)
 def normaliser(form: Form = CANONICAL) -> Callable[[str], str]:
-    first: dict[int, str | None] = dict(_removed())
-    if not form.compatibility:
-        first |= _styles()
-    last = {ord(c): to for letters, to in LOOKALIKES.items() for c in letters} if form.skeleton else {}
+    first: dict[int, str | None] = ({} if form.compatibility else _styles()) | _removed()
+    last = lookalikes(form.fold_case) if form.skeleton else {}
     space = " " if form.keep_space else ""
     first_class = re.compile("[" + "".join(re.escape(chr(c)) for c in first) + "\U000e0000-\U000e0fff]")
     kd, kc = ("NFKD", "NFKC") if form.compatibility else ("NFD", "NFC")
@@ -94,12 +119,13 @@ def normaliser(form: Form = CANONICAL) -> Callable[[str], str]:
                 text = first_class.sub(lambda m: first.get(ord(m[0])) or "", text)
         else:
             text = first_class.sub(lambda m: first.get(ord(m[0])) or "", text)
+            if form.fold_case:
+                # Case first, so that a look is the same for a word in capitals and in small letters.
+                text = unicodedata.normalize(kd, unicodedata.normalize(kd, text).casefold())
             if last:
                 # Letters are mapped below their accents, then composed again.
                 text = unicodedata.normalize(kd, text).translate(last)
             text = unicodedata.normalize(kc, text)
-            if form.fold_case:
-                text = unicodedata.normalize(kc, text.casefold())
         if form.fold_case and text.isascii():
             text = text.lower()
         text = _SPACE.sub(space, text)
@@ -189,16 +215,26 @@ def look_classes(keys: DataFrame) -> DataFrame:
     return keys.join(classes, "look").select("page_id", "class_id", "n_pages", "n_variants")
 
 
+#: Pages of one variant that one task pairs with a page of another.
+PAIR_BLOCK = 4096
+
+
 def look_pairs(keys: DataFrame) -> DataFrame:
     """(page_id_a, page_id_b): pages that look the same though stored differently.
 
-    Looks with a single stored variant drop out before the join, so copies of
-    one page never meet each other; the join is by variant, then by page.
+    Variants meet first: of each look the pairs of differing stored texts, one
+    row however many pages hold them, so copies of one page never meet each
+    other.  Then each pair of variants is filled with its pages, the second
+    variant's in blocks of :data:`PAIR_BLOCK`, so a text that a third of all
+    pages hold is not one task's work.
     """
     keys = checkpointed(keys)
     variants = keys.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("n"))
-    several = variants.groupBy("look").agg(F.count(F.lit(1)).alias("v")).where("v > 1").select("look")
-    live = keys.join(several, "look")
-    other = live.select("look", F.col("stored").alias("stored_b"), F.col("page_id").alias("page_id_b"))
-    met = live.join(other, "look").where((F.col("stored") != F.col("stored_b")) & (F.col("page_id") < F.col("page_id_b")))
-    return met.select(F.col("page_id").alias("page_id_a"), "page_id_b")
+    other = variants.select("look", F.col("stored").alias("stored_b"), F.col("n").alias("n_b"))
+    met = variants.select("look", "stored").join(other, "look").where("stored < stored_b")
+    blocks = F.ceil(F.col("n_b") / PAIR_BLOCK).cast("int")
+    met = met.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    first = met.join(keys.select("stored", "look", F.col("page_id").alias("a")), ["look", "stored"]).select("look", "stored_b", "block", "a")
+    sizes = variants.where(F.col("n") > PAIR_BLOCK).select("look", "stored", F.ceil(F.col("n") / PAIR_BLOCK).cast("int").alias("blocks"))
+    second = keys.join(sizes, ["look", "stored"], "left").select("look", F.col("stored").alias("stored_b"), F.pmod(F.xxhash64("page_id"), F.coalesce("blocks", F.lit(1))).cast("int").alias("block"), F.col("page_id").alias("b"))
+    return first.join(second, ["look", "stored_b", "block"]).select(F.least("a", "b").alias("page_id_a"), F.greatest("a", "b").alias("page_id_b"))

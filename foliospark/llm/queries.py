@@ -22,8 +22,8 @@ def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pdf_pages").select("page_id", "text").distinct()
-    return pages.withColumn("text", appearance.canonical_column()(F.col("text")))
+    texts = appearance.page_texts(table(spark, sf_dir, "pdf_pages"), table(spark, sf_dir, "pdf_glyphs"))
+    return texts.withColumn("text", appearance.canonical_column()(F.col("text"))).distinct()
 
 
 def p1_glyphs(spark: SparkSession, sf_dir: str) -> DataFrame:

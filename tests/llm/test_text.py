@@ -27,6 +27,40 @@ def test_looks_keep_what_a_reader_sees():
     assert looks("ё") == looks("ё") == looks("ë")
 
 
+def test_form_is_closed_for_every_code_point():
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in (appearance.CANONICAL, appearance.LOOKS, appearance.Form(skeleton=False)):
+        f = appearance.normaliser(form)
+        assert not [c for c in points if f(f(c)) != f(c)]
+    f = appearance.normaliser()
+    assert not [c for c in points if not f(c) == f(c.upper()) == f(c.lower())]
+    rng = random.Random(2)
+    odd = [c for c in points if not c.isascii() and c.isprintable()]
+    for form in (appearance.CANONICAL, appearance.LOOKS):
+        f = appearance.normaliser(form)
+        for _ in range(3000):
+            text = "".join(rng.choices(odd, k=3)) + rng.choice("aео́") + rng.choice("\u0301\u0327\u200d ")
+            assert f(f(text)) == f(text), text
+
+
+def test_look_alikes_of_other_scripts():
+    looks, folded = appearance.normaliser(appearance.LOOKS), appearance.normaliser()
+    assert looks("Ꭺνοсаԁο ΤΙΜΕ ɡо ҮЕЅ") == looks("Avocado TIME go YES")
+    for a, b in (("РУКА", "рука"), ("ТУ", "ту"), ("Һ", "һ"), ("ΣΟΦΙΑ", "σοφια")):
+        assert folded(a) == folded(b) and looks(a) != looks(b)
+    for a, b in (("г", "r"), ("5 μm", "5 mm"), ("ү", "у"), ("н", "һ"), ("ё", "е"), ("й", "и")):
+        assert folded(a) != folded(b)
+
+
+def test_hot_variants_are_paired_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(appearance, "PAIR_BLOCK", 16)
+    rows = [(i, b"l", b"s0") for i in range(300)] + [(1000 + i, b"l", b"s1") for i in range(40)] + [(2000, b"l", b"s2"), (3000, b"m", b"s0"), (3001, b"m", b"s0")]
+    keys = spark.createDataFrame(rows, "page_id bigint, look binary, stored binary")
+    want = {(a, b) for a, la, sa in rows for b, lb, sb in rows if a < b and la == lb and sa != sb}
+    got = appearance.look_pairs(keys).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def pages_and_glyphs(spark):
     text = "A page with some text"
     pages = spark.createDataFrame(
