@@ -5,13 +5,17 @@ automaton finds the maximal spans of well-formed UTF-8 multibyte sequences, and
 only those spans are decoded; text read wrongly twice is restored in rounds.
 UTF-16 read as bytes is found by its interleaved zero bytes.  Where one
 single-byte code page was taken for another no byte structure tells it; there
-the spans of non-ASCII words are re-decoded and weighed against letter contexts
-counted over the whole corpus (:func:`train`).
+the spans are the words with non-ASCII characters, each re-decoded through the
+pair of pages and weighed by a stated model, the letter contexts counted over
+the whole corpus (:func:`train`).  Words that gain are replaced: all of them
+where the value gains as a whole, else only those that gain clearly, so a value
+garbled in part keeps its right words.
 
 The counts are one dense table ``letter x left class x right class``, whose size
-is fixed by the code pages (at most 700 x 64 x 64 cells), and one hashed table
-of wider contexts (two classes on either side) with :data:`SKETCH` cells, so
-both can be shipped to every task at any corpus size.
+is fixed by the code pages (at most 700 x 64 x 64 cells), and exact counts of
+wider contexts (two classes on either side), of which those with at least one in
+:data:`WIDE` of all occurrences are kept, so at most so many exist at any corpus
+size; the others fall back to the dense table.
 
 Defined results: NULL and '' are never affected; a value with replacement
 characters is affected and restored only around them (``restorable`` false);
@@ -20,6 +24,7 @@ values of any length are taken whole.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections import Counter
@@ -28,9 +33,12 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.session import checkpointed
+
 #: Code pages that text was decoded with by mistake.
 PAGES = ("cp1252", "latin-1", "iso8859-15", "cp437", "cp850", "mac_roman", "cp1251", "koi8-r", "cp866")
 #: (bytes really in, decoded as): pairs of single-byte pages that no byte structure can tell.
@@ -40,8 +48,9 @@ SWAPS = tuple(
     for read in ("cp1252", "cp850", "cp437", "mac_roman", "cp1251", "koi8-r", "cp866")
     if true != read
 )
-#: Least gain in log frequency, per re-read letter, for a re-reading to hold.
+#: Least gain in log frequency, per re-read letter and in all, for a re-reading of all words to hold, and of some.
 MIN_GAIN, MIN_TOTAL = 1.2, 2.5
+MIN_GAIN_PART, MIN_TOTAL_PART = 2.5, 7.0
 ROUNDS = 4
 UNKNOWN = -40.0
 BAD = "�"
@@ -115,8 +124,8 @@ def letters() -> dict[str, int]:
 
 
 CLASSES = 64
-#: Cells of the hashed table of wider contexts.
-SKETCH = 1 << 20
+#: A wider context is kept if it has at least one in so many of all occurrences.
+WIDE = 1 << 18
 
 
 @lru_cache(maxsize=4096)
@@ -139,64 +148,92 @@ def context_class(ch: str) -> int:
     return 62 if ch.isalpha() else 63
 
 
-def cells(text: str) -> Iterator[tuple[int, int]]:
-    """(dense cell, hashed cell) of each non-ASCII character of a text."""
-    known, low = letters(), text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    end = len(low)
-    for i, ch in enumerate(low):
-        if ch > "\x7f":
-            a = context_class(low[i - 1]) if i else 0
-            b = context_class(low[i + 1]) if i + 1 < end else 0
-            aa = context_class(low[i - 2]) if i > 1 and a else 0
-            bb = context_class(low[i + 2]) if i + 2 < end and b else 0
-            dense = (known.get(ch, 0) * CLASSES + a) * CLASSES + b
-            yield dense, ((dense * CLASSES + aa) * CLASSES + bb) * 0x9E3779B97F4A7C15 % (1 << 64) >> 44
-
-
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total: Counter[int] = Counter()
-    for pdf in batches:
-        for text, n in pdf["text"].value_counts().items():
-            if not text.isascii():
-                for dense, wide in cells(text):
-                    total[dense] += int(n)
-                    total[-1 - wide] += int(n)
-    yield pd.DataFrame({"cell": list(total), "n": list(total.values())}, dtype="int64")
-
-
-def model_of(cell: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two tables as log frequencies; wide cells are numbered -1, -2, …"""
-    dense, wide = np.zeros((len(letters()) + 1) * CLASSES * CLASSES), np.zeros(SKETCH)
+@lru_cache
+def _code_points() -> tuple[np.ndarray, np.ndarray]:
+    """(context class, letter index) of every code point, in lower case where that is one character."""
+    known = letters()
+    classes, index = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.int64)
+    for c in range(0x110000):
+        if c >= 0x3000 and c not in (0xFEFF, 0xFFFD):
+            continue
+        ch = chr(c)
+        low = ch.lower() if len(ch.lower()) == 1 else ch
+        classes[c], index[c] = context_class(low), known.get(low, 0)
+    classes[0x3000:] = context_class("\u4e00")
+    classes[0xFFFD] = context_class(BAD)
+    return classes, index
+
+
+def cells(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(dense cell, wide cell) of each non-ASCII character of a text, by arrays."""
+    classes, index = _code_points()
+    points = np.frombuffer(f"  {text}  ".encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero(points > 0x7F)
+    kind = classes[points]
+    left, right = kind[at - 1].astype(np.int64), kind[at + 1].astype(np.int64)
+    beyond_left, beyond_right = np.where(left > 0, kind[at - 2], 0), np.where(right > 0, kind[at + 2], 0)
+    dense = (index[points[at]] * CLASSES + left) * CLASSES + right
+    return dense, (dense * CLASSES + beyond_left) * CLASSES + beyond_right
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(cell, n): dense cells as they are, wide ones numbered -1, -2, …; added up before they are shuffled."""
+    total: dict[int, int] = {}
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], names=["cell", "n"])
+
+    for batch in batches:
+        # Texts are joined by what is an edge on either side.
+        dense, wide = cells("\n\n".join(t for t in batch.column("text").to_pylist() if t and not t.isascii()))
+        for found in (dense, -1 - wide):
+            for cell, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True))):
+                total[cell] = total.get(cell, 0) + n
+        if len(total) > 1_000_000:
+            yield out()
+            total.clear()
+    yield out()
+
+
+Counts = tuple[np.ndarray, dict[int, float]]
+
+
+def model_of(cell: np.ndarray, n: np.ndarray) -> Counts:
+    """Log frequencies: the dense table, and the kept wide cells (numbered -1, -2, … in ``cell``)."""
+    dense = np.zeros((len(letters()) + 1) * CLASSES * CLASSES)
     dense[cell[cell >= 0]] = n[cell >= 0]
-    wide[-1 - cell[cell < 0]] = n[cell < 0]
+    wide = dict(zip((-1 - cell[cell < 0]).tolist(), np.log(n[cell < 0] + 0.3).tolist()))
     per_letter = dense.reshape(-1, CLASSES * CLASSES).sum(1)
     floor = np.repeat(5 * per_letter / max(per_letter.sum(), 1), CLASSES * CLASSES)
     table = np.log(dense + floor + 1e-2)
     # A character of no code page is worth three garbled ones and not three likely ones.
     table[: CLASSES * CLASSES] = UNKNOWN
-    return table.astype(np.float32), np.log(wide + 0.3).astype(np.float32)
+    return table.astype(np.float32), wide
 
 
-def train(texts: DataFrame, text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+def train(texts: DataFrame, text: str = "text") -> Counts:
     """Log frequencies of letters in context over all texts.
 
-    The rows that reach the driver are cells of the two tables, fixed in number.
+    The rows that reach the driver are cells of the dense table, fixed in number,
+    and at most WIDE wide ones.
     """
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text")).mapInPandas(_count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n"))
-    counted = rows.toPandas()
+    given = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    rows = checkpointed(given.mapInArrow(_count, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")))
+    whole = rows.where("cell < 0").agg(F.sum("n")).first()[0] or 0
+    counted = rows.where((F.col("cell") >= 0) | (F.col("n") * WIDE >= whole)).toPandas()
     return model_of(counted["cell"].to_numpy(np.int64), counted["n"].to_numpy(np.float64))
 
 
-def _mixing(text: str) -> float:
-    """Latin and Cyrillic letters in one value, worse in one word, are unlikely."""
-    if not _CYRILLIC.search(text) or not _LATIN.search(text):
-        return 0.0
-    return 1.5 + 3.0 * len(_TOUCH.findall(text))
+#: Price of Latin and Cyrillic letters in one value, and of each place where they touch.
+MIXED, TOUCHING = 1.5, 3.0
+
+
+def _mixes(text: str) -> bool:
+    return bool(_CYRILLIC.search(text) and _LATIN.search(text))
 
 
 _LATIN, _CYRILLIC = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]"), re.compile("[Ѐ-ӿ]")
+_SPACES = re.compile(r"\S+")
 _TOUCH = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ](?=[Ѐ-ӿ])|[Ѐ-ӿ](?=[A-Za-zÀ-ÖØ-öø-ɏ])")
 
 
@@ -205,17 +242,28 @@ _NO_TEXT = re.compile("[\x80-\x9f]|[─-▟](?=[^\\W\\d_])|(?<=[^\\W\\d_])[─-
 
 
 class Restorer:
-    def __init__(self, model: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, model: Counts):
         self.dense, self.wide = model
+        self.unseen = math.log(0.3)
+        self.words: dict[str, tuple[float, int]] = {}
+        self.swaps: dict[str, dict[tuple[str, str], tuple[str, float, int]]] = {}
+
+    def word(self, word: str) -> tuple[float, int]:
+        """(sum of log frequencies, number of non-ASCII characters); capitals inside and touching scripts count as unlikely."""
+        known = self.words.get(word)
+        if known is None:
+            if len(self.words) > 100_000:
+                self.words.clear()
+            dense, wide = cells(word)
+            total = float(self.dense[dense].sum()) + sum(self.wide.get(w, self.unseen) for w in wide.tolist())
+            inside = sum(a.islower() and b.isupper() for a, b in zip(word, word[1:]) if b > "\x7f")
+            known = self.words[word] = total - 3.0 * inside - TOUCHING * len(_TOUCH.findall(word)), len(dense)
+        return known
 
     def score(self, text: str) -> tuple[float, int]:
-        """(sum of log frequencies, number of non-ASCII characters); a capital inside a word counts as unlikely."""
-        total, n = 0.0, 0
-        for dense, wide in cells(text):
-            total += float(self.dense[dense]) + float(self.wide[wide])
-            n += 1
-        inside = sum(a.islower() and b.isupper() for a, b in zip(text, text[1:]) if b > "\x7f")
-        return total - 3.0 * inside - _mixing(text), n
+        """The same of a whole text; contexts end at white space, so its words are scored one by one."""
+        scores = [self.word(w) for w in text.split() if not w.isascii()]
+        return sum(s for s, _ in scores) - (MIXED if _mixes(text) else 0.0), sum(n for _, n in scores)
 
     def value(self, text: str) -> float:
         """Of readings with different numbers of odd characters the fewer and likelier win."""
@@ -255,19 +303,43 @@ class Restorer:
                 best = found
         return best
 
+    def _word_swaps(self, word: str) -> dict[tuple[str, str], tuple[str, float, int]]:
+        """Pair of pages -> (word read through it, gain, characters changed), where that gives text."""
+        known = self.swaps.get(word)
+        if known is None:
+            if len(self.swaps) > 50_000:
+                self.swaps.clear()
+            known, before = {}, self.word(word)[0]
+            for pair in SWAPS:
+                new = word.translate(swap_table(*pair))
+                if new != word and BAD not in new and not any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in new):
+                    known[pair] = new, self.word(new)[0] - before, sum(a != b for a, b in zip(word, new))
+            self.swaps[word] = known
+        return known
+
     def _swap(self, text: str) -> str | None:
-        before, _ = self.score(text)
+        """The best reading of the value's non-ASCII words through one pair of pages, of all words or of those that gain."""
+        words = {w for w in text.split() if not w.isascii()}
+        counts = Counter(w for w in text.split() if w in words)
+        options = {w: self._word_swaps(w) for w in words}
+        mixed = MIXED if _mixes(text) else 0.0
         best, best_gain = None, 0.0
-        for true, read in SWAPS:
-            new = text.translate(swap_table(true, read))
-            if new == text or BAD in new:
-                continue
-            if any(ord(c) < 32 or 0x7F <= ord(c) < 0xA0 for c in new):
-                continue
-            changed = sum(a != b for a, b in zip(text, new))
-            gain = self.score(new)[0] - before
-            if gain > best_gain and gain >= MIN_TOTAL and gain / max(changed, 1) >= MIN_GAIN:
-                best, best_gain = new, gain
+        for pair in (p for p in SWAPS if any(p in o for o in options.values())):
+            read = {w: o[pair] for w, o in options.items() if pair in o}
+            part = {w: r for w, r in read.items() if r[1] > 0}
+            tries = [(read, MIN_TOTAL, MIN_GAIN)] if len(read) == len(words) else []
+            if part and len(part) < len(words):
+                tries.append((part, MIN_TOTAL_PART, MIN_GAIN_PART))
+            for chosen, least, least_each in tries:
+                gain = sum(r[1] * counts[w] for w, r in chosen.items())
+                if gain <= best_gain or gain < least - MIXED:
+                    continue
+                new = _SPACES.sub(lambda m: chosen[m[0]][0] if m[0] in chosen else m[0], text)
+                gain += mixed - (MIXED if _mixes(new) else 0.0)
+                changed = sum(r[2] * counts[w] for w, r in chosen.items())
+                if gain > best_gain and gain >= least and gain / changed >= least_each:
+                    best, best_gain = new, gain
+                    break
         return best
 
     def restore(self, text: str) -> tuple[str, bool] | None:
@@ -286,13 +358,16 @@ class Restorer:
             swapped = self._swap(text)
             if swapped is not None and (now == text or self.value(swapped) > self.value(now)):
                 now = swapped
+            elif now != text and not now.isascii():
+                # A value may be garbled in one word by a single-byte page and in another as UTF-8.
+                now = self._swap(now) or now
         controls = "\0" in now or bool(_NO_TEXT.search(now))
         if now == text and not lossy and not controls:
             return None
         return now, not (BAD in now or controls)
 
 
-def restored(df: DataFrame, model: tuple[np.ndarray, np.ndarray], text: str = "text") -> DataFrame:
+def restored(df: DataFrame, model: Counts, text: str = "text") -> DataFrame:
     """The affected rows of ``df`` with ``restored`` and ``restorable`` added."""
     bc = df.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in df.columns]

@@ -114,6 +114,23 @@ def test_double_swapped_wide_partial_and_lost(restorer):
     assert all(restorer.restore(t) is None for t in (*CLEAN, "plain", "", "x" * 100_000))
 
 
+def test_one_garbled_word_beside_right_ones(restorer):
+    right = "Jürgen prüft die Brücke für Müller"
+    for true, read in (("cp1252", "cp437"), ("cp1252", "mac_roman"), ("utf-8", "cp1252"), ("utf-8", "cp850")):
+        for word in ("Jürgen", "prüft", "Brücke", "Müller"):
+            wrong = right.replace(word, word.encode(true).decode(read))
+            assert restorer.restore(wrong) == (right, True), wrong
+    both = right.replace("Jürgen", "JÃ¼rgen").replace("Brücke", "Brücke".encode("cp1252").decode("cp437"))
+    assert restorer.restore(both) == (right, True)
+
+
+def test_wide_contexts_are_exact():
+    text = "für Müller für Müller"
+    dense, wide = mojibake.cells(text)
+    assert len(dense) == 4 and len(set(wide.tolist())) == 2 and mojibake.cells("plain")[0].tolist() == []
+    assert mojibake.cells("a\n\nü")[1].tolist() == mojibake.cells("ü")[1].tolist()
+
+
 def test_restored_rows(spark, restorer):
     df = spark.createDataFrame([(1, "MÃ¼ller"), (1, "MÃ¼ller"), (2, None), (3, ""), (4, "Müller")], "doc_id bigint, text string").withColumn("restorable", F.lit("clash")).drop("restorable")
     rows = mojibake.restored(df, (restorer.dense, restorer.wide)).collect()
