@@ -8,9 +8,10 @@ only what follows no rule is listed.
 from __future__ import annotations
 
 import re
-import unicodedata
 from functools import lru_cache
 
+from foliospark.kernel import glyph_names
+
 # Upper half of StandardEncoding (code in octal: glyph name).
 STANDARD_UPPER = (
     "241 exclamdown 242 cent 243 sterling 244 fraction 245 yen 246 florin 247 section 250 currency 251 quotesingle 252 quotedblleft 253 guillemotleft 254 guilsinglleft 255 guilsinglright 256 fi 257 fl "
@@ -39,8 +40,6 @@ IRREGULAR = {
     "trademark": "™", "registered": "®", "copyright": "©", "degree": "°", "plusminus": "±", "multiply": "×", "divide": "÷", "logicalnot": "¬", "minus": "−", "mu": "µ", "onehalf": "½", "onequarter": "¼", "threequarters": "¾", "onesuperior": "¹", "twosuperior": "²", "threesuperior": "³", "brokenbar": "¦",
     "Eth": "Ð", "eth": "ð", "Thorn": "Þ", "thorn": "þ", "Dcroat": "Đ", "dcroat": "đ", "Euro": "€", "nbspace": " ", "sfthyphen": "­", "softhyphen": "­", "infinity": "∞", "notequal": "≠", "lessequal": "≤", "greaterequal": "≥", "partialdiff": "∂", "summation": "∑", "product": "∏", "radical": "√", "integral": "∫", "approxequal": "≈", "lozenge": "◊", "arrowleft": "←", "arrowright": "→", "arrowup": "↑", "arrowdown": "↓", "element": "∈", "emptyset": "∅", "universal": "∀", "existential": "∃", "sigma1": "ς", "theta1": "ϑ", "phi1": "ϕ", "omega1": "ϖ", "Upsilon1": "ϒ", "checkmark": "✓",
 }
-ACCENTS = {"grave": "GRAVE", "acute": "ACUTE", "circumflex": "CIRCUMFLEX", "tilde": "TILDE", "dieresis": "DIAERESIS", "ring": "RING ABOVE", "cedilla": "CEDILLA", "caron": "CARON", "breve": "BREVE", "macron": "MACRON", "ogonek": "OGONEK", "dotaccent": "DOT ABOVE", "hungarumlaut": "DOUBLE ACUTE", "commaaccent": "CEDILLA", "dot": "DOT ABOVE"}
-
 
 @lru_cache(maxsize=4096)
 def component(name: str) -> str:
@@ -57,21 +56,7 @@ def component(name: str) -> str:
     if m:
         u = int(m[1], 16)
         return chr(u) if u <= 0x10FFFF and not 0xD800 <= u <= 0xDFFF else ""
-    for accent, words in ACCENTS.items():
-        if name.endswith(accent) and len(name) == len(accent) + 1:
-            case = "CAPITAL" if name[0].isupper() else "SMALL"
-            try:
-                return unicodedata.lookup(f"LATIN {case} LETTER {name[0].upper()} WITH {words}")
-            except KeyError:
-                return ""
-    for script, test in (("GREEK", name), ("CYRILLIC", re.sub(r"^afii", "", name))):
-        if test.isalpha() and len(test) > 1:
-            case = "CAPITAL" if test[0].isupper() else "SMALL"
-            try:
-                return unicodedata.lookup(f"{script} {case} LETTER {test.upper()}")
-            except KeyError:
-                continue
-    return ""
+    return glyph_names.by_rule(name, component)
 
 
 @lru_cache(maxsize=4096)

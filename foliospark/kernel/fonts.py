@@ -13,43 +13,10 @@ from dataclasses import dataclass, field
 import numpy as np
 
 from foliospark.kernel import encodings, filters
+from foliospark.kernel.metrics import standard_widths
 from foliospark.kernel.objects import Name, Ref, Scanner, Stream
 from foliospark.kernel.reader import File
 
-# Advance widths of the standard Latin faces for codes 32 to 126, from the public AFM files.
-HELVETICA = "278 278 355 556 556 889 667 191 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 278 278 584 584 584 556 1015 667 667 722 722 667 611 778 722 278 500 667 556 833 722 778 667 778 722 667 611 722 667 944 667 667 611 278 278 278 469 556 333 556 556 500 556 556 278 556 556 222 222 500 222 833 556 556 556 556 333 500 278 556 500 722 500 500 500 334 260 334 584"
-HELVETICA_BOLD = "278 333 474 556 556 889 722 238 333 333 389 584 278 333 278 278 556 556 556 556 556 556 556 556 556 556 333 333 584 584 584 611 975 722 722 722 722 667 611 778 722 278 556 722 611 833 722 778 667 778 722 667 611 722 667 944 667 667 611 333 278 333 584 556 333 556 611 556 611 556 333 611 611 278 278 556 278 889 611 611 611 611 389 556 333 611 556 778 556 556 500 389 280 389 584"
-TIMES = "250 333 408 500 500 833 778 180 333 333 500 564 250 333 250 278 500 500 500 500 500 500 500 500 500 500 278 278 564 564 564 444 921 722 667 667 722 611 556 722 722 333 389 722 611 889 722 722 556 722 667 556 611 722 722 944 722 722 611 333 278 333 469 500 333 444 500 444 500 444 333 500 500 278 278 500 278 778 500 500 500 500 333 389 278 500 500 722 500 500 444 480 200 480 541"
-TIMES_BOLD = "250 333 555 500 500 1000 833 278 333 333 500 570 250 333 250 278 500 500 500 500 500 500 500 500 500 500 333 333 570 570 570 500 930 722 667 722 722 667 611 778 778 389 500 778 667 944 722 778 611 778 722 556 667 722 722 1000 722 722 667 333 278 333 581 500 333 500 556 444 556 444 333 500 556 278 333 556 278 833 556 500 556 556 444 389 333 556 500 722 500 500 444 394 220 394 520"
-#: Accented letters measure like their base letter in these faces.
-
-
-def _faces(widths: str) -> dict[str, float]:
-    import unicodedata
-
-    base = {chr(32 + i): float(w) for i, w in enumerate(widths.split())}
-    out = dict(base)
-    for c in (*range(0xC0, 0x180),):
-        letter = unicodedata.normalize("NFD", chr(c))[0]
-        if letter in base:
-            out[chr(c)] = base[letter]
-    return out
-
-
-def standard_widths(base_font: str) -> dict[str, float] | float | None:
-    """Widths by text of a standard face, 600 for Courier, None for other fonts."""
-    name = base_font[7:] if base_font[6:7] == "+" else base_font
-    family = re.sub(r"[ ,-]", "", name[:64]).lower()
-    bold = any(w in family for w in ("bold", "black", "heavy"))
-    if family.startswith("courier"):
-        return 600.0
-    if family.startswith(("helvetica", "arial")):
-        return _faces(HELVETICA_BOLD if bold else HELVETICA)
-    if family.startswith("times"):
-        return _faces(TIMES_BOLD if bold else TIMES)
-    return None
-
-
 # ---- CMaps ------------------------------------------------------------------
 
 
@@ -213,32 +180,35 @@ def load_cmap(file: File, value, resolve=None) -> CMap | None:
 # ---- font programs, for text hints ------------------------------------------
 
 
-def sfnt_map(data: bytes) -> dict[int, str]:
-    """Glyph id -> text from a TrueType/OpenType cmap; ASCII first, then the lowest code."""
-    if data[:4] == b"ttcf":
-        data_at = struct.unpack(">I", data[12:16])[0]
-    else:
-        data_at = 0
-    tables = struct.unpack(">H", data[data_at + 4 : data_at + 6])[0]
-    codes: dict[int, int] = {}
+def _sfnt_tables(data: bytes) -> list[tuple[tuple[int, int], dict[int, int]]]:
+    """((platform, encoding), code -> glyph) of every cmap subtable, the least telling first."""
+    start = struct.unpack(">I", data[12:16])[0] if data[:4] == b"ttcf" else 0
+    tables = struct.unpack(">H", data[start + 4 : start + 6])[0]
+    out = []
     for i in range(tables):
-        tag, _, offset, length = struct.unpack(">4sIII", data[data_at + 12 + 16 * i : data_at + 28 + 16 * i])
+        tag, _, offset, length = struct.unpack(">4sIII", data[start + 12 + 16 * i : start + 28 + 16 * i])
         if tag == b"cmap":
             body = data[offset : offset + length]
             count = struct.unpack(">H", body[2:4])[0]
-            ranked = []
             for k in range(count):
                 platform, encoding, at = struct.unpack(">HHI", body[4 + 8 * k : 12 + 8 * k])
                 rank = {(3, 10): 4, (0, 4): 4, (3, 1): 3, (0, 3): 2, (3, 0): 1}.get((platform, encoding), 0 if platform == 0 else -1)
-                ranked.append((rank, at, (platform, encoding)))
-            for rank, at, which in sorted(ranked):
-                sub = _subtable(body[at:])
-                if which == (1, 0):
-                    mac = encodings.table("MacRomanEncoding")
-                    sub = {ord(mac[c]): g for c, g in sub.items() if c < 256 and mac[c]}
-                elif which == (3, 0):
-                    sub = {c & 0xFF: g for c, g in sub.items() if c >> 8 in (0, 0xF0, 0xF1, 0xF2)}
-                codes.update(sub)
+                out.append((rank, at, (platform, encoding), _subtable(body[at:])))
+    return [(which, sub) for _, _, which, sub in sorted(out, key=lambda x: x[:3])]
+
+
+def sfnt_map(data: bytes) -> dict[int, str]:
+    """Glyph id -> text from a TrueType/OpenType cmap; ASCII first, then the lowest code."""
+    codes: dict[int, int] = {}
+    tables = _sfnt_tables(data)
+    symbol = any(which == (3, 0) for which, _ in tables)
+    mac = encodings.table("MacRomanEncoding")
+    for which, sub in tables:
+        if which == (1, 0) and not symbol:
+            sub = {ord(mac[c]): g for c, g in sub.items() if c < 256 and mac[c]}
+        elif which == (3, 0):
+            sub = {c & 0xFF: g for c, g in sub.items() if c >> 8 in (0, 0xF0, 0xF1, 0xF2)}
+        codes.update(sub)
     out: dict[int, str] = {}
     for code, glyph in sorted(codes.items(), key=lambda x: (not 32 <= x[0] < 127, x[0])):
         if glyph and code <= 0x10FFFF and not 0xD800 <= code <= 0xDFFF:
@@ -246,6 +216,18 @@ def sfnt_map(data: bytes) -> dict[int, str]:
     return out
 
 
+def sfnt_bytes(data: bytes) -> dict[int, int]:
+    """Byte -> glyph id: how a simple font's codes select glyphs, through Mac, symbol or Unicode subtables."""
+    out: dict[int, int] = {}
+    for which, sub in _sfnt_tables(data):
+        if which[0] == 1:
+            out |= {c: g for c, g in sub.items() if c < 256}
+        else:
+            out |= {c & 0xFF: g for c, g in sub.items() if 0xF000 <= c <= 0xF0FF and c & 0xFF not in sub}
+            out |= {c: g for c, g in sub.items() if c < 256}
+    return out
+
+
 def _subtable(sub: bytes) -> dict[int, int]:
     kind = struct.unpack(">H", sub[:2])[0]
     out: dict[int, int] = {}
@@ -438,6 +420,14 @@ class Font:
         return text, width, size == 1 and code == 32, metrics
 
 
+# Fonts that forms may name without supplying them, and what viewers take for them.
+STAND_INS = {"Helv": {"Subtype": Name("Type1"), "BaseFont": Name("Helvetica"), "Encoding": Name("WinAnsiEncoding")}, "ZaDb": {"Subtype": Name("Type1"), "BaseFont": Name("ZapfDingbats"), "Encoding": Name("ZapfDingbatsEncoding")}}
+
+
+def stand_in(file: File, name: str) -> Font | None:
+    return load(file, STAND_INS[name]) if name in STAND_INS else None
+
+
 #: Fonts that their dictionary alone describes, by its entries: many files name the same few.
 _BARE: dict[tuple, Font] = {}
 MOST_BARE = 256
@@ -534,6 +524,10 @@ def _runs(file: File, value, width: int) -> dict[int, list[float]]:
     return out
 
 
+#: Codes that mean the same character in TeX's text encodings: printable ASCII up to z, less quotes, accents and inverted marks.
+_TEX_CODES = frozenset(range(0x21, 0x7B)) - set(b'"<>\\^_')
+
+
 def _differences(file: File, value, type3: bool) -> dict[int, str]:
     names: dict[int, str] = {}
     code = 0
@@ -546,6 +540,10 @@ def _differences(file: File, value, type3: bool) -> dict[int, str]:
             code += 1
     texts = {c: encodings.glyph_text(n) for c, n in names.items()}
     unnamed = [c for c, n in names.items() if n != ".notdef"]
+    # Fonts that number glyphs in the order of use name every code below the space: their numbers mean nothing.
+    first = re.fullmatch(r"([A-Za-z]{1,2})0+", names.get(0, ""))
+    if first and all(re.fullmatch(rf"{first[1]}0*{c}", names.get(c, "")) for c in range(1, 32)):
+        return texts
     # Names that only carry a code, such as G41 (hexadecimal) or C65 (decimal): believed on enough evidence.
     for pattern, base in ((r"[A-Za-z]{1,2}([0-9A-Fa-f]{2})", 16), (r"[A-Za-z]{1,2}(\d{2,3})", 10)):
         coded = {c: int(m[1], base) for c in unnamed if (m := re.fullmatch(pattern, names[c]))}
@@ -555,12 +553,11 @@ def _differences(file: File, value, type3: bool) -> dict[int, str]:
                 if not texts[c] and 32 <= v < 127:
                     texts[c] = chr(v)
             break
+    # TeX's bitmap fonts name a glyph by its code.
     if type3:
-        numbered = {c: int(m[1]) for c in unnamed if (m := re.fullmatch(r"a(\d{1,3})", names[c]))}
-        if len(numbered) >= 3 and all(v == c for c, v in numbered.items()):
-            for c, v in numbered.items():
-                if not texts[c] and 32 <= v < 127:
-                    texts[c] = chr(v)
+        for c, n in names.items():
+            if not texts[c] and n == f"a{c}" and c in _TEX_CODES:
+                texts[c] = chr(c)
     return texts
 
 
@@ -632,6 +629,8 @@ def _simple(file: File, info: dict, type3: bool, resolve) -> Font:
             out[code] = widths[i]
         elif isinstance(standard, float):
             out[code] = standard
+        elif isinstance(standard, list):
+            out[code] = standard[code] or default
         elif standard is not None:
             out[code] = standard.get(font.texts[code], default)
     font.widths = out
@@ -645,7 +644,7 @@ def _simple_hints(file: File, info: dict, font: Font) -> dict[int, str]:
     try:
         if key == "FontFile2" or data[:4] in (b"\0\1\0\0", b"OTTO", b"true", b"ttcf"):
             by_glyph = sfnt_map(data)
-            return {g: t for g, t in by_glyph.items() if g < 256} if not by_glyph else {ord(t): t for t in by_glyph.values() if len(t) == 1 and ord(t) < 256}
+            return {code: by_glyph[g] for code, g in sfnt_bytes(data).items() if g in by_glyph}
         return cff_encoding(data) if key == "FontFile3" else type1_encoding(data)
     except (struct.error, IndexError, ValueError, KeyError):
         font.warnings.append("embedded font program cannot be read")

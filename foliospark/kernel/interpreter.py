@@ -179,7 +179,7 @@ class Walker:
         if number in self.fonts and number is not None:
             return self.fonts[number]
         loaded = self.file.get(value)
-        font = fonts.load(self.file, loaded, self.resolve, self.collections) if isinstance(loaded, dict) else None
+        font = fonts.load(self.file, loaded, self.resolve, self.collections) if isinstance(loaded, dict) else fonts.stand_in(self.file, name)
         if number is not None:
             self.fonts[number] = font
         return font

@@ -1,3 +1,4 @@
+import struct
 import zlib
 
 import numpy as np
@@ -546,3 +547,46 @@ def test_compact_font_encoding():
     font = b"<</Type /Font /Subtype /Type1 /BaseFont /X /FontDescriptor <</Flags 4 /FontFile3 6 0 R>>>>"
     d = x.read(one_page(b"BT /F1 10 Tf 1 0 0 1 72 700 Tm (ABC) Tj ET", font=font, more={6: b.flate("/Subtype /Type1C", data)}))
     assert d.text() == "AÁŽ"
+
+
+def test_glyph_names_by_rule():
+    want = {
+        "Delta": "∆", "Omega": "Ω", "Schwa": "Ə", "Scommaaccent": "Ș", "pe": "פ", "pecyrillic": "п", "Alphatonos": "Ά", "iotadieresistonos": "ΐ", "lambda": "λ", "mugreek": "μ", "afii10017": "А", "afii10023": "Ё", "afii10110": "ў", "afii57664": "א", "afii57434": "غ", "afii57799": "ְ", "Acircumflexacute": "Ấ", "Gcommaaccent": "Ģ",
+        "asmallhiragana": "ぁ", "shikatakana": "シ", "kokaithai": "ก", "aavowelsigndeva": "ा", "behfinalarabic": "ﺐ", "Aybarmenian": "Ա", "kiyeokkorean": "ㄱ", "Amonospace": "Ａ", "onecircle": "①", "oneparen": "⑴", "oneroman": "ⅰ", "foursuperior": "⁴", "acutecomb": "\u0301", "SF540000": "╪", "twothirds": "⅔", "AEacute": "Ǽ", "finalkaf": "ך", "g12": "", "foobar": "", "a_b.alt": "ab",
+    }
+    assert {n: encodings.glyph_text(n) for n in want} == want
+
+
+def test_standard_faces_and_symbol_fonts():
+    w = fonts.standard_widths
+    assert (w("Times-Italic")["—"], w("Times-BoldItalic")["E"], w("Helvetica-Oblique")["í"], w("ABCDEF+TimesNewRoman,Bold")["“"]) == (889, 667, 278, 500)
+    assert w("Symbol")[97] == 631 and w("ZapfDingbats")[0x34] == 846 and len(w("Symbol")) == 256
+
+
+def type3(names, text=b"!A"):
+    objects = b.page_tree(1, 4, "/Font <</F1 3 0 R>>")
+    objects[3] = b"<</Type /Font /Subtype /Type3 /FontMatrix [0.01 0 0 0.01 0 0] /FontBBox [0 0 50 100] /CharProcs <<>> /FirstChar 33 /Widths [50] /Encoding <</Differences [%s]>>>>" % names
+    objects[5] = b.stream("", b"BT /F1 10 Tf 1 0 0 1 72 700 Tm (%s) Tj ET" % text)
+    return x.read(b.classic(objects)).text()
+
+
+def test_names_that_carry_a_code():
+    assert type3(b"33 /a33 65 /a65") == "!A"
+    assert type3(b"34 /a34 65 /a65", b'"A') == "A"  # a quote in TeX's encodings is another sign
+    assert type3(b"0 " + b" ".join(b"/a%d" % i for i in range(70))) == ""  # numbered in order of use
+
+
+def test_fonts_that_forms_take_for_granted():
+    objects = b.page_tree(1, 4, "")
+    objects[5] = b.stream("", b"BT /Helv 10 Tf 1 0 0 1 72 700 Tm (Yes) Tj /ZaDb 10 Tf 1 0 0 1 120 700 Tm (4) Tj /Gone 10 Tf (x) Tj ET")
+    assert x.read(b.classic(objects)).text().split() == ["Yes", "✔"]
+
+
+def test_simple_fonts_select_glyphs_by_byte():
+    sub = bytes(262)
+    sub = b"\0\0\x01\x06\0\0" + bytes(3 if c == 0x41 else 0 for c in range(256))  # Mac table: byte 0x41 shows glyph 3
+    four = struct.pack(">HHHHHHHHHHHHHH", 4, 32, 0, 4, 4, 1, 0, 0x5A, 0xFFFF, 0, 0x5A, 0xFFFF, (3 - 0x5A) & 0xFFFF, 1) + struct.pack(">HH", 0, 0)  # Unicode table: Z is glyph 3
+    cmap = struct.pack(">HHHHIHHI", 0, 2, 1, 0, 20, 3, 1, 20 + len(sub)) + sub + four
+    data = b"\0\1\0\0" + struct.pack(">HHHH", 1, 0, 0, 0) + struct.pack(">4sIII", b"cmap", 0, 28, len(cmap)) + cmap
+    by_glyph, by_byte = fonts.sfnt_map(data), fonts.sfnt_bytes(data)
+    assert by_byte[0x41] == 3 and by_glyph[3] in ("A", "Z")
