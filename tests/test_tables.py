@@ -141,3 +141,25 @@ def test_words_of_an_ocr_program():
     tsv = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n5\t1\t1\t1\t1\t1\t20\t40\t30\t10\t90\tHello\n5\t1\t1\t1\t1\t2\t20\t40\t30\t10\t-1\t \n4\t1\t1\t1\t1\t0\t0\t0\t9\t9\t-1\t\n5\tbroken\n5\t1\t1\t1\t1\t3\t60\t40\t30\t10\t12\tlow"
     (run,) = tesseract.words(image, tsv, 50)
     assert run.texts == ["Hello"] and run.x[0] == 20 and run.y[0] == 20 + 75 and run.advance[0] == 15 and run.size == 5 and tesseract.dpi(image) == 144
+
+
+def test_feature_queries_against_sql(spark):
+    """Each feature on the smallest tables, beside the same in SQL."""
+    import glob
+    import os
+
+    import duckdb
+    from foliospark.plans import feature_queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    if not os.path.exists(folder):
+        return
+    for name, run in feature_queries.QUERIES.items():
+        df = run(spark, folder)
+        columns = sorted(df.columns)
+        want = con.execute(f"SELECT {', '.join(columns)} FROM ({feature_queries.SQL[name]})").fetchall()
+        clean = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
+        assert clean(tuple(r[c] for c in columns) for r in df.collect()) == clean(want), name
