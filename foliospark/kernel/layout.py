@@ -136,6 +136,14 @@ class Layout:
         self.box = None if options.keep_off_page else box
         self.width = np.abs(glyphs.advance)
         self.em = np.maximum(glyphs.size, 1.0)
+        self._codes: np.ndarray | None = None
+
+    def codes(self) -> np.ndarray:
+        """A number for each glyph that is the same for equal texts."""
+        if self._codes is None:
+            known: dict[str, int] = {}
+            self._codes = np.array([known.setdefault(t, len(known)) for t in self.g.text], np.int64)
+        return self._codes
 
     # ---- lines ----
 
@@ -233,14 +241,18 @@ class Layout:
 
     def _sort(self, line: Line) -> None:
         start, _ = self.along(line)
-        order = sorted(range(len(line.at)), key=lambda k: (start[k], line.at[k]))
-        at, pos = [line.at[k] for k in order], [float(start[k]) for k in order]
+        numbers = np.asarray(line.at, int)
+        order = np.lexsort((numbers, start))
+        line.at = numbers[order].tolist()
+        at, pos = line.at, start[order]
+        # A glyph kerned back over the space drawn just before it.
+        if not (numbers[order][1:] == numbers[order][:-1] - 1).any():
+            return
+        pos = pos.tolist()
         for k in range(1, len(at)):
-            # A glyph kerned back over the space drawn just before it.
             if at[k] == at[k - 1] - 1 and not self.g.text[at[k]].strip(SPACE) and pos[k] - pos[k - 1] <= 0.1 * self.em[at[k - 1]]:
                 at[k - 1], at[k] = at[k], at[k - 1]
                 pos[k - 1], pos[k] = pos[k], pos[k - 1]
-        line.at = at
 
     def same_place(self, i: int, j: int, dx: float, dy: float) -> bool:
         """Whether glyph j repeats glyph i."""
@@ -256,6 +268,15 @@ class Layout:
         px, py = g.x[j] - g.x[i], g.y[j] - g.y[i]
         return abs(px * dx + py * dy) <= along and abs(py * dx - px * dy) <= COPY_ACROSS * em
 
+    def same_places(self, i: np.ndarray, j: np.ndarray, dx: float, dy: float) -> np.ndarray:
+        """Which glyphs ``j`` repeat the glyphs ``i`` beside them."""
+        g, codes, em = self.g, self.codes(), self.em[i]
+        along = COPY_ALONG * em
+        along = np.where(self.width[i] > 0, np.minimum(along, self.width[i] / 3), along)
+        px, py = g.x[j] - g.x[i], g.y[j] - g.y[i]
+        near = (np.abs(px * dx + py * dy) <= along) & (np.abs(py * dx - px * dy) <= COPY_ACROSS * em)
+        return near & (codes[i] == codes[j]) & (np.abs(g.size[i] - g.size[j]) <= COPY_ALONG * em)
+
     def _drop_copies(self, line: Line) -> None:
         if self.options.keep_duplicates or len(line.at) < 2:
             return
@@ -265,12 +286,20 @@ class Layout:
             return  # no two glyphs are close enough
         if len(start) < 3 or bool((start[2:] - start[:-2] > reach[2:]).all()):
             # Copies can only be direct neighbours, as in bold type painted twice.
+            at = np.asarray(line.at, int)
             close = np.flatnonzero(start[1:] - start[:-1] <= reach[1:]) + 1
+            close = close[self.same_places(at[close - 1], at[close], line.dx, line.dy)]
             gone: set[int] = set()
-            for k in close.tolist():
-                if k - 1 not in gone and self.same_place(line.at[k - 1], line.at[k], line.dx, line.dy):
-                    gone.add(k if line.at[k] > line.at[k - 1] else k - 1)
-            line.at = [i for k, i in enumerate(line.at) if k not in gone]
+            if len(close) > 1 and (np.diff(close) == 1).any():
+                for k in close.tolist():
+                    if k - 1 not in gone:
+                        gone.add(k if line.at[k] > line.at[k - 1] else k - 1)
+            else:
+                gone.update(np.where(at[close] > at[close - 1], close, close - 1).tolist())
+            if gone:
+                keep = np.ones(len(at), bool)
+                keep[list(gone)] = False
+                line.at = at[keep].tolist()
             return
         kept: list[int] = []
         places: list[float] = []
@@ -295,6 +324,8 @@ class Layout:
             return []
         drawn = sorted(line.at)
         start, end = self.along(line, drawn)
+        if (start[1:] >= np.maximum.accumulate(end)[:-1] - STEP_BACK * self.em[drawn[1:]]).all():
+            return []  # one stroke
         strokes: list[list] = []  # [glyph positions in drawn, start, end]
         for k in range(len(drawn)):
             if strokes and start[k] >= strokes[-1][2] - STEP_BACK * self.em[drawn[k]]:
@@ -510,6 +541,8 @@ class Layout:
         g = self.g
         n = len(g)
         off = ~g.within(self.box) if self.box is not None else np.zeros(n, bool)
+        if not off.any() and (self.options.keep_duplicates or self._no_copies()):
+            return self._content_quick()
         first = next((i for i in range(n) if not off[i]), None)
         if first is None:
             return ""
@@ -536,6 +569,38 @@ class Layout:
         return "".join(out)
 
 
+    def _no_copies(self) -> bool:
+        """Whether equal upright glyphs all lie further apart than copies do; False where that is not plain."""
+        g = self.g
+        if (g.dx != 1.0).any() or (g.dy != 0.0).any():
+            return False
+        em = float(self.em.max())
+        order = np.argsort(g.y, kind="stable")
+        row = np.zeros(len(g), np.int64)
+        row[order[1:]] = np.cumsum(np.diff(g.y[order]) > COPY_ACROSS * em)
+        code = self.codes()
+        order = np.lexsort((g.x, row, code))
+        same = (code[order][1:] == code[order][:-1]) & (row[order][1:] == row[order][:-1])
+        close = np.flatnonzero(same & (np.diff(g.x[order]) <= COPY_ALONG * em))
+        return not any(g.text[i].strip(SPACE) for i in order[close].tolist())
+
+    def _content_quick(self) -> str:
+        """Content order where nothing is left out, by comparing each glyph with the one before it in arrays."""
+        g, texts = self.g, list(self.g.text)
+        larger = np.maximum(g.size[1:], g.size[:-1])
+        jump = np.abs(np.diff(g.y)) > np.where(larger > 0, LINE_REACH * larger, 5.0)
+        size = np.maximum(g.size[1:], 1.0)
+        gap = g.x[1:] - (g.x[:-1] + g.advance[:-1])
+        for k in (np.flatnonzero(~jump & (gap > WORD_GAP * size)) + 1).tolist():
+            before, text = g.text[k - 1], g.text[k]
+            if before[-1:] == " " or text[:1] == " " or (unspaced(before) and unspaced(text) and gap[k - 1] <= size[k - 1]):
+                continue
+            texts[k] = " " + text
+        for k in (np.flatnonzero(jump) + 1).tolist():
+            texts[k] = "\n" + texts[k]
+        return "".join(texts)
+
+
 def unspaced(text: str) -> bool:
     """Whether text begins in a script written without spaces between words."""
     c = text[:1]
