@@ -36,75 +36,117 @@ def glyphs_in(glyphs: DataFrame, region: Column) -> DataFrame:
     return glyphs.where(geometry.intersects(geometry.glyph_bounds(), region))
 
 
+_PACKED = "doc_id bigint, page int, idx binary, sizes binary, texts binary, numbers binary, vectors binary"
+
+
 def layout_text(glyphs: DataFrame, options: Options = Options(), boxes: DataFrame | None = None) -> DataFrame:
     """(doc_id, page, text) laid out anew from glyph rows.
 
-    One shuffle by (doc_id, page), sorted within, then pages are read off as
-    they pass by: a task never holds more than one page.  ``boxes`` may give
-    media boxes (doc_id, page, media_box).
+    Glyphs of a page that arrive together are packed into one row of arrays
+    before the one shuffle by (doc_id, page), so what is shuffled and sorted are
+    pieces of pages and not glyphs; pages are put together and read off as they
+    pass by, and a task never holds more than one page.  ``boxes`` may give media
+    boxes (doc_id, page, media_box).  Of glyphs with one idx the first by text
+    counts.
     """
     columns = ["doc_id", "page", "idx", "text", "x", "y", "advance", "size", "dir", "ascent", "descent"]
-    rows = glyphs.where("doc_id is not null and page is not null and text is not null and text <> ''").select(*columns)
+    rows = glyphs.where("doc_id is not null and page is not null and text is not null and text <> ''").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("page").cast("int").alias("page"), F.col("idx").cast("int").alias("idx"), *columns[3:])
+    packed = rows.mapInArrow(_pack, _PACKED)
     if boxes is not None:
         one = boxes.where("doc_id is not null and page is not null").groupBy("doc_id", "page").agg(F.max("media_box").alias("media_box"))
-        rows = rows.join(one, ["doc_id", "page"], "left")
+        packed = packed.join(one, ["doc_id", "page"], "left")
     else:
-        rows = rows.withColumn("media_box", F.lit(None).cast("struct<min_x: double, min_y: double, max_x: double, max_y: double>"))
-    placed = rows.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "idx", "text")
+        packed = packed.withColumn("media_box", F.lit(None).cast("struct<min_x: double, min_y: double, max_x: double, max_y: double>"))
+    placed = packed.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        key, pieces = None, []
         for batch in batches:
-            held = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            held = held.combine_chunks()
-            starts = _page_starts(held)
-            yield _texts(held, starts, options)
-            rest = held.slice(starts[-1])  # the last page may go on in the next batch
-        if rest is not None:
-            yield _texts(rest, [*_page_starts(rest), len(rest)], options)
+            out: list[tuple] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[:2] != key:
+                    if pieces:
+                        out.append((*key, _text_of(pieces, options)))
+                    key, pieces = row[:2], []
+                pieces.append(row[2:])
+            yield _text_rows(out)
+        if pieces:
+            yield _text_rows([(*key, _text_of(pieces, options))])
 
-    return placed.mapInArrow(run, "doc_id bigint, page int, text string")
+    return placed.select("doc_id", "page", "idx", "sizes", "texts", "numbers", "vectors", "media_box").mapInArrow(run, "doc_id bigint, page int, text string")
 
 
-def _page_starts(held: pa.Table) -> list[int]:
-    doc, page = (held.column(c).to_numpy() for c in ("doc_id", "page"))
-    return [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist()]
+def _text_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], names=["doc_id", "page", "text"])
 
 
-def _pairs(column, default: tuple[float, float]) -> np.ndarray:
+def _pairs(column: pa.Array, default: tuple[float, float]) -> np.ndarray:
     """n x 2 numbers of a struct column, the default where it is NULL."""
-    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    out = np.stack([whole.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], axis=1)
-    missing = whole.is_null().to_numpy(zero_copy_only=False)
-    out[missing] = default
+    if column.null_count == len(column):
+        return np.tile(np.array(default), (len(column), 1))
+    out = np.stack([column.field(n).to_numpy(zero_copy_only=False).astype(float) for n in ("x", "y")], axis=1)
+    out[column.is_null().to_numpy(zero_copy_only=False)] = default
     return np.nan_to_num(out)
 
 
-def _texts(held: pa.Table, starts: list[int], options: Options) -> pa.RecordBatch:
-    """The texts of the whole pages between the given starts."""
-    docs, pages, texts = [], [], []
-    if len(starts) > 1:
-        end = starts[-1]
-        held = held.slice(0, end)
-        text = held.column("text").to_pylist()
-        idx = held.column("idx").to_numpy()
-        x, y, advance, size = (np.nan_to_num(held.column(c).to_numpy().astype(float)) for c in ("x", "y", "advance", "size"))
-        toward, up, down = _pairs(held.column("dir"), (1.0, 0.0)), _pairs(held.column("ascent"), (0.0, 0.0)), _pairs(held.column("descent"), (0.0, 0.0))
-        length = np.hypot(toward[:, 0], toward[:, 1])
-        usable = length > 1e-9
-        toward = np.where(usable[:, None], toward / np.where(usable, length, 1.0)[:, None], (1.0, 0.0))
-        repeated = np.zeros(end, bool)
-        repeated[1:] = idx[1:] == idx[:-1]
-        repeated[starts[:-1]] = False
-        doc, page, boxes = held.column("doc_id"), held.column("page"), held.column("media_box")
-        for a, b in zip(starts, starts[1:]):
-            keep = np.flatnonzero(~repeated[a:b]) + a
-            glyphs = Glyphs([text[k] for k in keep], x[keep], y[keep], advance[keep], size[keep], toward[keep, 0], toward[keep, 1], up[keep], down[keep])
-            box = boxes[a].as_py()
-            docs.append(doc[a].as_py())
-            pages.append(page[a].as_py())
-            texts.append(Layout(glyphs, options, None if box is None else (box["min_x"], box["min_y"], box["max_x"], box["max_y"])).page_text())
-    return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(pages, pa.int32()), pa.array(texts, pa.string())], names=["doc_id", "page", "text"])
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of glyphs of one page, each as one row of raw arrays."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        doc, page = (batch.column(c).to_numpy() for c in ("doc_id", "page"))
+        if ((doc[1:] == doc[:-1]) & (page[1:] == page[:-1])).mean() < 0.5 and n > 1:
+            order = np.lexsort((page, doc))  # rows in no order of pages: brought together within the batch
+            batch = batch.take(pa.array(order))
+            doc, page = doc[order], page[order]
+        starts = [0, *(np.flatnonzero((doc[1:] != doc[:-1]) | (page[1:] != page[:-1])) + 1).tolist(), n]
+        idx = np.nan_to_num(batch.column("idx").to_numpy(zero_copy_only=False).astype(float)).astype(np.int32)
+        text = batch.column("text").cast(pa.large_string())
+        offsets = np.frombuffer(text.buffers()[1], np.int64)[text.offset : text.offset + n + 1]
+        raw, sizes = text.buffers()[2], np.diff(offsets).astype(np.int32)
+        numbers = np.stack([np.nan_to_num(batch.column(c).to_numpy(zero_copy_only=False).astype(float)) for c in ("x", "y", "advance", "size")], axis=1)
+        toward = _pairs(batch.column("dir"), (1.0, 0.0))
+        vectors = np.concatenate([toward, _pairs(batch.column("ascent"), (0.0, 0.0)), _pairs(batch.column("descent"), (0.0, 0.0))], axis=1)
+        plain = (vectors == (1.0, 0.0, 0.0, 0.0, 0.0, 0.0)).all(axis=1)
+        bounds = list(zip(starts, starts[1:]))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(doc[starts[:-1]]), pa.array(page[starts[:-1]]), pa.array([idx[a:b].tobytes() for a, b in bounds], pa.binary()), pa.array([sizes[a:b].tobytes() for a, b in bounds], pa.binary()),
+                pa.array([raw[int(offsets[a]) : int(offsets[b])].to_pybytes() for a, b in bounds], pa.binary()), pa.array([numbers[a:b].tobytes() for a, b in bounds], pa.binary()), pa.array([b"" if plain[a:b].all() else vectors[a:b].tobytes() for a, b in bounds], pa.binary()),
+            ],
+            names=["doc_id", "page", "idx", "sizes", "texts", "numbers", "vectors"],
+        )
+
+
+def _text_of(pieces: list[tuple], options: Options) -> str:
+    """The text of a page from its pieces."""
+    idx = np.concatenate([np.frombuffer(p[0], np.int32) for p in pieces])
+    text: list[str] = []
+    for p in pieces:
+        sizes, whole = np.frombuffer(p[1], np.int32), p[2].decode()
+        if len(whole) == len(sizes) and len(p[2]) == int(sizes.sum()) and len(p[2]) == len(whole):
+            text += whole  # one character of one byte each
+        else:
+            ends = np.cumsum(sizes).tolist()
+            text += [p[2][a:b].decode() for a, b in zip([0, *ends], ends)]
+    numbers = np.concatenate([np.frombuffer(p[3], float).reshape(-1, 4) for p in pieces])
+    vectors = np.concatenate([np.frombuffer(p[4], float).reshape(-1, 6) if p[4] else np.tile(np.array((1.0, 0.0, 0.0, 0.0, 0.0, 0.0)), (len(p[0]) // 4, 1)) for p in pieces])
+    if (idx[1:] > idx[:-1]).all():
+        keep = None
+    else:
+        order = np.argsort(idx, kind="stable")
+        if (np.diff(idx[order]) == 0).any():
+            order = np.array(sorted(range(len(idx)), key=lambda k: (idx[k], text[k].encode())))
+        keep = order[np.concatenate([[True], np.diff(idx[order]) > 0])]
+        text, numbers, vectors = [text[k] for k in keep], numbers[keep], vectors[keep]
+    toward = vectors[:, :2]
+    length = np.hypot(toward[:, 0], toward[:, 1])
+    usable = length > 1e-9
+    toward = np.where(usable[:, None], toward / np.where(usable, length, 1.0)[:, None], (1.0, 0.0))
+    box = next((p[5] for p in pieces if p[5] is not None), None)
+    glyphs = Glyphs(text, *(np.ascontiguousarray(numbers[:, i]) for i in range(4)), toward[:, 0], toward[:, 1], vectors[:, 2:4], vectors[:, 4:6])
+    return Layout(glyphs, options, None if box is None else (box["min_x"], box["min_y"], box["max_x"], box["max_y"])).page_text()
 
 
 def without_repeats(glyphs: DataFrame) -> DataFrame:
