@@ -384,9 +384,12 @@ class Layout:
             return ""
         if self.options.mode == "content":
             return self.content_text()
-        quick = self._quick_text() if self.options.mode == "position" else None
-        if quick is not None:
-            return quick
+        if self.options.mode == "position":
+            quick = self._quick_text()
+            if quick is None and not self.options.keep_duplicates:
+                quick = self._quick_without_copies()
+            if quick is not None:
+                return quick
         lines = self.lines()
         if self.box is not None:
             touching = self.g.within(self.box)
@@ -434,6 +437,30 @@ class Layout:
         lines = ("".join(text[edges[k] : edges[k + 1]]).strip(SPACE) for k in order.tolist())
         return "\n".join(line for line in lines if line)
 
+    def _rows(self) -> np.ndarray:
+        """A number for each glyph of upright text that is the same for heights that copies may have."""
+        order = np.argsort(self.g.y, kind="stable")
+        row = np.zeros(len(self.g), np.int64)
+        row[order[1:]] = np.cumsum(np.diff(self.g.y[order]) > COPY_ACROSS * float(self.em.max()))
+        return row
+
+    def _quick_without_copies(self) -> str | None:
+        """A plain page whose glyphs were painted twice; None where it is not plain what repeats what."""
+        g, n = self.g, len(self.g)
+        if n < 4 or (g.dx != 1.0).any() or (g.dy != 0.0).any():
+            return None
+        row = self._rows()
+        order = np.lexsort((np.arange(n), g.x, row))
+        a, b = order[:-1], order[1:]
+        near = np.flatnonzero((row[a] == row[b]) & (g.x[b] - g.x[a] <= COPY_ALONG * self.em[b]))
+        a, b = a[near], b[near]
+        twins = self.same_places(a, b, 1.0, 0.0) & self.same_places(b, a, 1.0, 0.0)
+        if not twins.any() or not twins.all() or (np.diff(near) == 1).any():
+            return None
+        keep = np.ones(n, bool)
+        keep[np.maximum(a, b)] = False
+        return Layout(g.take(np.flatnonzero(keep)), self.options, self.box)._quick_text()
+
     def line_text(self, line: Line, texts: list[str]) -> str:
         if any(right_to_left(c) for t in texts if not t.isascii() for c in t):
             return "".join(logical_order(self._pieces(self._marks_first(line))))
@@ -541,8 +568,10 @@ class Layout:
         g = self.g
         n = len(g)
         off = ~g.within(self.box) if self.box is not None else np.zeros(n, bool)
-        if not off.any() and (self.options.keep_duplicates or self._no_copies()):
-            return self._content_quick()
+        if not off[0] and (self.options.keep_duplicates or self._no_copies()):
+            quick = self._content_quick(off)
+            if quick is not None:
+                return quick
         first = next((i for i in range(n) if not off[i]), None)
         if first is None:
             return ""
@@ -574,21 +603,20 @@ class Layout:
         g = self.g
         if (g.dx != 1.0).any() or (g.dy != 0.0).any():
             return False
-        em = float(self.em.max())
-        order = np.argsort(g.y, kind="stable")
-        row = np.zeros(len(g), np.int64)
-        row[order[1:]] = np.cumsum(np.diff(g.y[order]) > COPY_ACROSS * em)
+        em, row = float(self.em.max()), self._rows()
         code = self.codes()
         order = np.lexsort((g.x, row, code))
         same = (code[order][1:] == code[order][:-1]) & (row[order][1:] == row[order][:-1])
         close = np.flatnonzero(same & (np.diff(g.x[order]) <= COPY_ALONG * em))
         return not any(g.text[i].strip(SPACE) for i in order[close].tolist())
 
-    def _content_quick(self) -> str:
-        """Content order where nothing is left out, by comparing each glyph with the one before it in arrays."""
+    def _content_quick(self, off: np.ndarray) -> str | None:
+        """Content order by comparing each glyph with the one before it in arrays; None if a line off the page is left out."""
         g, texts = self.g, list(self.g.text)
         larger = np.maximum(g.size[1:], g.size[:-1])
         jump = np.abs(np.diff(g.y)) > np.where(larger > 0, LINE_REACH * larger, 5.0)
+        if (jump & off[1:]).any():
+            return None
         size = np.maximum(g.size[1:], 1.0)
         gap = g.x[1:] - (g.x[:-1] + g.advance[:-1])
         for k in (np.flatnonzero(~jump & (gap > WORD_GAP * size)) + 1).tolist():
