@@ -134,7 +134,7 @@ def fit(examples: list[tuple[str, str]], seed: int = 5) -> Model:
     if not rows:
         return _start(rng)
     y, held = np.array(labels), np.array(held)
-    model = _descend(_start(rng), rows, y, np.flatnonzero(~held), rng, 1)
+    model = _descend(_start(rng), rows, y, np.flatnonzero(~held), rng)
     share = model.word_logits()
     agrees = np.array([share[r].mean(0) + model.bias for r in rows]).argmax(1) == y
     model = _descend(_start(rng), rows, y, np.flatnonzero(~held & agrees), rng)
@@ -171,7 +171,10 @@ def _descend(model: Model, rows: list[np.ndarray], y: np.ndarray, train: np.ndar
             back = (p @ model.weights.T) / sizes[:, None]
             model.weights -= rate / 8 * mean.T @ p
             model.bias -= rate * p.mean(0)
-            np.add.at(model.embedding, ids, (-8 * rate * back[owner]).astype(np.float32))
+            # A bucket's steps are added up before it moves.
+            order = np.argsort(ids, kind="stable")
+            first = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+            model.embedding[ids[order][first]] -= (8 * rate * np.add.reduceat(back[owner[order]], first)).astype(np.float32)
     return model
 
 
@@ -267,7 +270,7 @@ class Scorer:
         sentences = segments(text)
         closed = any(_END.search(s) for s in sentences)
         for sentence, (lang, confidence) in zip(sentences, self.sentences(sentences)):
-            letters = sum(c.isalpha() for c in sentence)
+            letters = sum(map(str.isalpha, sentence))
             # Beside whole sentences, a rest without sentence mark may be a running line: it is no evidence.
             if lang != UNDETERMINED and (not closed or _END.search(sentence)):
                 weight[lang] += letters
