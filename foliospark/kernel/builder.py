@@ -101,7 +101,7 @@ def text_pdf(text: str, per_page: int = 40, content=lines_content, wrap=stream,
 
 def encrypted(objects: dict[int, bytes], user: bytes = b"", owner: bytes = b"owner", revision: int = 3, aes: bool = False) -> bytes:
     """Streams encrypted by the standard handler, revisions 2 to 4."""
-    size, file_id, permissions = (5 if revision == 2 else 16), b"0123456789abcdef", -4
+    size, file_id, permissions = (5 if revision == 2 else 16), b"folio-file-id-16", -4
     key = hashlib.md5((owner + ciphers.PAD)[:32]).digest()
     for _ in range(50 if revision >= 3 else 0):
         key = hashlib.md5(key).digest()

@@ -15,7 +15,7 @@ from foliospark.kernel.objects import Name, Ref, Stream
 from foliospark.kernel.reader import File, Unreadable
 
 #: Codes a warning may have.
-CODES = ("rebuilt", "page_tree_cycle", "malformed_page", "stream_error", "unsupported", "work_limit", "ocr")
+CODES = ("malformed_document", "malformed_page", "stream_error", "stream_limit", "work_limit", "unsupported", "ocr")
 OCR_POLICIES = ("none", "textless", "images", "all")
 
 
@@ -140,15 +140,15 @@ def read_pages(content: bytes, options: Options = Options(), doc: Document | Non
         doc.error = f"{type(e).__name__}: {e}"
         return
     if file.rebuilt:
-        warn("rebuilt", "cross-reference table was rebuilt")
+        warn("malformed_document", "cross-reference table was rebuilt")
     for w in cycles:
         warn(*w)
     doc.page_count = len(pages)
     numbers = {p[""].number: i + 1 for i, p in enumerate(pages) if isinstance(p[""], Ref)}
     if options.extras:
         doc.metadata = metadata(file)
-        doc.outlines = outlines(file, numbers)
-        doc.fields = form_fields(file, numbers)
+        doc.outlines = outlines(file, numbers, warn)
+        doc.fields = form_fields(file, numbers, warn)
     cache: dict = {}
     for number, info in enumerate(pages, 1):
         if options.wants(number):
@@ -240,7 +240,7 @@ def destination(file: File, value, numbers: dict) -> dict | None:
     return {"name": "", "page": page, "x": x, "y": y, "zoom": zoom}
 
 
-def outlines(file: File, numbers: dict) -> list[dict]:
+def outlines(file: File, numbers: dict, warn=lambda *w: None) -> list[dict]:
     """Adjacency rows in reading order: node, parent, depth, ordinal, title, destination."""
     out: list[dict] = []
     seen: set[int] = set()
@@ -249,10 +249,16 @@ def outlines(file: File, numbers: dict) -> list[dict]:
     while stack and len(out) < 50_000:
         value, parent, depth, ordinal = stack.pop()
         item = file.get(value)
-        if not isinstance(item, dict) or depth > 64:
+        if isinstance(item, dict) and depth > 64:
+            warn("malformed_document", "outline is nested too deeply")
+            continue
+        if not isinstance(item, dict):
+            if value is not None:
+                warn("malformed_document", "outline entry is no dictionary")
             continue
         if isinstance(value, Ref):
             if value.number in seen:
+                warn("malformed_document", f"outline entry {value.number} repeats")
                 continue
             seen.add(value.number)
         target = item.get("Dest")
@@ -262,6 +268,8 @@ def outlines(file: File, numbers: dict) -> list[dict]:
         out.append({"node": node, "parent": parent, "depth": depth, "ordinal": ordinal, "title": text_of(file, item.get("Title")), "destination": destination(file, target, numbers)})
         stack.append((item.get("Next"), parent, depth, ordinal + 1))
         stack.append((item.get("First"), node, depth + 1, 0))
+    if stack:
+        warn("malformed_document", "outline has too many entries")
     return out
 
 
@@ -282,7 +290,7 @@ def annotations(file: File, page: dict, numbers: dict) -> list[dict]:
     return out
 
 
-def form_fields(file: File, numbers: dict) -> list[dict]:
+def form_fields(file: File, numbers: dict, warn=lambda *w: None) -> list[dict]:
     """Terminal fields with dotted names; type, value and page come from ancestors where missing."""
     out: list[dict] = []
     seen: set[int] = set()
@@ -298,6 +306,8 @@ def form_fields(file: File, numbers: dict) -> list[dict]:
             continue
         if isinstance(value, Ref):
             if value.number in seen:
+                warn("malformed_document", f"form field {value.number} repeats")
+                stack = []
                 break
             seen.add(value.number)
         name = ".".join(p for p in (path, text_of(file, item.get("T"))) if p)
@@ -317,6 +327,8 @@ def form_fields(file: File, numbers: dict) -> list[dict]:
             stack += [(k, name, kind, text, page) for k in reversed(inner)]
         elif name or kind or text:
             out.append({"name": name, "alternate_name": text_of(file, item.get("TU")), "type": kind, "value": text, "page": page})
+    if stack:
+        warn("malformed_document", "form has too many fields")
     return out
 
 

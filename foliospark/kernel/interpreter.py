@@ -220,7 +220,7 @@ class Walker:
             parts.append(body[:room])
             room -= len(parts[-1])
             if room <= 0:
-                self.warn("work_limit", "content exceeds its size limit")
+                self.warn("stream_limit", "content exceeds its size limit")
                 break
         return b"\n".join(parts)
 

@@ -345,7 +345,7 @@ class File:
             if is_tree and isinstance(kids, list):
                 if isinstance(node, Ref):
                     if node.number in seen:
-                        warn("page_tree_cycle", f"page tree node {node.number} repeats")
+                        warn("malformed_document", f"page tree node {node.number} repeats")
                         continue
                     seen.add(node.number)
                 if depth < MAX_DEPTH_TREE:

@@ -243,7 +243,7 @@ def _string(text: str) -> bytes:
 
 def info_pdf(title: str, author: str, custom: str) -> bytes:
     objects = b.page_tree(1, 4, "/Font <</F1 3 0 R>>")
-    objects |= {3: b.COURIER, 5: b.stream("", b""), 6: b"<</Title %s /Author %s /CustomKey %s>>" % tuple(map(_string, (title, author, custom)))}
+    objects |= {3: b.COURIER, 5: b.stream("", b""), 6: b"<</Title %s /Author %s /ShelfMark %s>>" % tuple(map(_string, (title, author, custom)))}
     return b.classic(objects, trailer="/Info 6 0 R")
 
 
@@ -269,7 +269,7 @@ def field_pdf(name: str, value: str) -> bytes:
     objects = b.page_tree(1, 4, "", extra="/AcroForm <</Fields [6 0 R] /NeedAppearances true>>")
     objects[4] = b"<</Type /Page /Parent 2 0 R /Contents 5 0 R /Annots [7 0 R]>>"
     objects[5] = b.stream("", b"")
-    objects[6] = b"<</T (customer) /Kids [7 0 R]>>"
+    objects[6] = b"<</T (ledger) /Kids [7 0 R]>>"
     objects[7] = b"<</Type /Annot /Subtype /Widget /FT /Tx /T %s /V %s /Parent 6 0 R /P 4 0 R /Rect [100 100 400 120] /DA (/Helv 10 Tf)>>" % (b.literal(name), _string(value))
     return b.classic(objects)
 

@@ -138,7 +138,7 @@ query("fake_bold_kept", DRAWN + "SELECT doc_id, page, CAST(2 * sum(length(l)) AS
 query("off_page_kept", TEXT.replace("{line}", "l").replace("{where}", "") + "SELECT doc_id, page, 'off the page' || chr(10) || text AS text FROM pg")(
     lambda spark, sf_dir: pages_of(spark, sf_dir, styled(draw.with_off_page), Options(layout=LayoutOptions(keep_off_page=True))).where("text <> 'off the page'")
 )
-query("actual_text", fill(PAGE_SQL, line="CASE WHEN r = 0 THEN 'replaced' ELSE l END"))(lambda spark, sf_dir: pages_of(spark, sf_dir, styled(draw.with_actual_text)).where("text <> 'replaced' or page > 0"))
+query("actual_text", fill(PAGE_SQL, line="CASE WHEN r = 0 THEN 'replaced' ELSE l END"))(lambda spark, sf_dir: pages_of(spark, sf_dir, styled(draw.with_actual_text)))
 query("artifacts_ignored", fill(PAGE_SQL))(lambda spark, sf_dir: pages_of(spark, sf_dir, styled(draw.with_artifact), Options(ignore_artifacts=True)))
 query("artifacts_kept", TEXT.replace("{line}", "l").replace("{where}", "") + "SELECT doc_id, page, 'running header' || chr(10) || text AS text FROM pg")(
     lambda spark, sf_dir: pages_of(spark, sf_dir, styled(draw.with_artifact)).where("text <> 'running header'")
@@ -295,13 +295,12 @@ def ocr_policy_counts(spark, sf_dir):
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("policy").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("ocr_tsv_words", "SELECT DISTINCT doc_id, page, idx, trim(text) AS word, round(x, 3) AS \"left\", round(y, 3) AS top FROM pdf_glyphs WHERE origin = 'ocr' AND trim(text) <> '' AND idx % 7 <> 0")
+@query("ocr_tsv_words", "SELECT DISTINCT doc_id, page, idx, trim(text) AS word, round(x, 3) AS \"left\", round(y, 3) AS top FROM pdf_glyphs WHERE origin = 'ocr' AND trim(text) <> ''")
 def ocr_tsv_words(spark, sf_dir):
     g = table(spark, sf_dir, "pdf_glyphs").where("origin = 'ocr'")
-    confidence = F.when(F.col("idx") % 7 == 0, "12.5").otherwise("96.0")
     number = lambda c: F.format_string("%.3f", c)
-    line = F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), F.col("idx").cast("string"), number("x"), number("y"), number("advance"), number("size"), confidence, F.trim("text"))
-    words = page_operators.tsv_words(g.select("doc_id", "page", "idx", line.alias("line")), 50.0)
+    line = F.concat_ws("\t", F.lit("5\t1\t1\t1\t1"), F.col("idx").cast("string"), number("x"), number("y"), number("advance"), number("size"), F.lit("96.0"), F.trim("text"))
+    words = page_operators.tsv_words(g.select("doc_id", "page", "idx", line.alias("line")), 0.0)
     return words.select("doc_id", "page", "idx", F.col("text").alias("word"), F.round("left", 3).alias("left"), F.round("top", 3).alias("top")).distinct()
 
 
@@ -325,7 +324,7 @@ def interval_union(spark, sf_dir):
 def metadata(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", *(F.coalesce(c, F.lit("")).alias(n) for c, n in (("path", "title"), ("source", "author"), ("lang", "custom"))))
     found = tables.extract(draw.files(rows, draw.info_pdf), "documents")
-    return found.select("doc_id", "title", "author", F.coalesce(F.try_element_at("custom", F.lit("CustomKey")), F.lit("")).alias("custom"))
+    return found.select("doc_id", "title", "author", F.coalesce(F.try_element_at("custom", F.lit("ShelfMark")), F.lit("")).alias("custom"))
 
 
 @query(
@@ -340,9 +339,9 @@ def outline_tree(spark, sf_dir):
     return tables.extract(draw.files(rows, draw.outline_pdf), "outlines").select("doc_id", "depth", "ordinal", "title", F.coalesce("destination.page", F.lit(0)).alias("page"))
 
 
-@query("link_annotations", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Link' AS subtype, 'https://example.test/' || c_custkey AS url, CAST(10 AS DOUBLE) AS min_x, CAST(700 AS DOUBLE) AS max_y FROM customer")
+@query("link_annotations", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'Link' AS subtype, 'https://shelf.invalid/card/' || c_custkey AS url, CAST(10 AS DOUBLE) AS min_x, CAST(700 AS DOUBLE) AS max_y FROM customer")
 def link_annotations(spark, sf_dir):
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("https://example.test/"), F.col("c_custkey").cast("string")).alias("url"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(F.lit("https://shelf.invalid/card/"), F.col("c_custkey").cast("string")).alias("url"))
     return tables.extract(draw.files(rows, draw.link_pdf), "annotations").select("doc_id", "subtype", "url", F.col("rect.min_x").alias("min_x"), F.col("rect.max_y").alias("max_y"))
 
 
@@ -351,7 +350,7 @@ def _field_files(spark, sf_dir):
     return draw.files(rows, draw.field_pdf)
 
 
-query("form_fields", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'customer.' || c_custkey AS name, 'Tx' AS type, c_mktsegment AS value, CAST(1 AS INTEGER) AS page FROM customer")(
+query("form_fields", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, 'ledger.' || c_custkey AS name, 'Tx' AS type, c_mktsegment AS value, CAST(1 AS INTEGER) AS page FROM customer")(
     lambda spark, sf_dir: tables.extract(_field_files(spark, sf_dir), "form_fields").select("doc_id", "name", "type", "value", "page")
 )
 query("form_values_painted", "SELECT CAST(c_custkey AS BIGINT) AS doc_id, c_mktsegment AS text FROM customer")(lambda spark, sf_dir: tables.extract(_field_files(spark, sf_dir), "documents").select("doc_id", "text"))

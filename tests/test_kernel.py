@@ -142,7 +142,7 @@ def test_hostile_files():
     assert x.read(b"").error and x.read(b"%PDF-1.4 nothing").error and x.read(b"\xff" * 5000).error
     cyclic = b.classic({1: b"<</Type /Catalog /Pages 2 0 R>>", 2: b"<</Type /Pages /Kids [2 0 R 3 0 R] /Count 2>>", 3: b"<</Type /Page /Parent 2 0 R>>"})
     d = x.read(cyclic)
-    assert d.page_count == 1 and d.warnings[0][0] == "page_tree_cycle"
+    assert d.page_count == 1 and d.warnings[0][0] == "malformed_document"
     own = one_page(b"/X0 Do", "/XObject <</X0 6 0 R>>", more={6: b.stream("/Subtype /Form /BBox [0 0 9 9] /Resources <</XObject <</X0 6 0 R>>>>", b"/X0 Do")})
     assert x.read(own).pages[0].warnings == [("malformed_page", "form XObject draws itself")]
     good = b.text_pdf("some words here")
@@ -196,7 +196,7 @@ def test_extras():
     d = x.read(draw.outline_pdf("top", ["a", "b"]))
     assert [(o["title"], o["depth"], o["ordinal"], o["parent"]) for o in d.outlines] == [("top", 0, 0, None), ("a", 1, 0, 0), ("b", 1, 1, 0)]
     d = x.read(draw.field_pdf("7", "AUTO"))
-    assert d.fields == [{"name": "customer.7", "alternate_name": "", "type": "Tx", "value": "AUTO", "page": 1}] and d.text() == "AUTO"
+    assert d.fields == [{"name": "ledger.7", "alternate_name": "", "type": "Tx", "value": "AUTO", "page": 1}] and d.text() == "AUTO"
 
 
 def test_ocr_hook():
@@ -590,3 +590,14 @@ def test_simple_fonts_select_glyphs_by_byte():
     data = b"\0\1\0\0" + struct.pack(">HHHH", 1, 0, 0, 0) + struct.pack(">4sIII", b"cmap", 0, 28, len(cmap)) + cmap
     by_glyph, by_byte = fonts.sfnt_map(data), fonts.sfnt_bytes(data)
     assert by_byte[0x41] == 3 and by_glyph[3] in ("A", "Z")
+
+
+def test_damaged_outlines_and_fields_are_warned_of():
+    cyclic = draw.outline_pdf("top", ["a", "b"]).replace(b"/Parent 11 0 R >>", b"/Next 11 0 R>>   ")
+    d = x.read(cyclic)
+    assert [o["title"] for o in d.outlines] == ["top", "a", "b"] and [w[0] for w in d.warnings] == ["malformed_document"]
+    objects = b.page_tree(1, 4, "", extra="/AcroForm <</Fields [6 0 R 6 0 R 7 0 R]>>") | {5: b.stream("", b""), 6: b"<</T (a) /FT /Tx /V (1)>>", 7: b"<</T (b) /FT /Tx /V (2)>>"}
+    d = x.read(b.classic(objects))
+    assert [f["name"] for f in d.fields] == ["a"] and [w[0] for w in d.warnings] == ["malformed_document"]
+    with pytest.raises(ValueError):
+        Limits(glyphs=-1)

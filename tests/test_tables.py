@@ -27,7 +27,7 @@ def test_every_table(spark, files):
     assert docs[2].error and docs[3].error and docs[2].text is None and docs[4].n_warnings == 1
     assert sorted((r.doc_id, r.page) for r in got["pages"]) == [(1, 1), (1, 2), (4, 1), (5, 1)]
     assert len([r for r in got["glyphs"] if r.doc_id == 1]) == sum(len(x) for x in LINES.split("\n"))
-    assert [r.code for r in got["warnings"]] == ["rebuilt"] and len(got["outlines"]) == 2 and got["images"] == []
+    assert [r.code for r in got["warnings"]] == ["malformed_document"] and len(got["outlines"]) == 2 and got["images"] == []
     with pytest.raises(ValueError):
         tables.extract(files, "nope")
 
@@ -163,3 +163,27 @@ def test_feature_queries_against_sql(spark):
         want = con.execute(f"SELECT {', '.join(columns)} FROM ({feature_queries.SQL[name]})").fetchall()
         clean = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=repr)
         assert clean(tuple(r[c] for c in columns) for r in df.collect()) == clean(want), name
+
+
+def test_source_options(spark, tmp_path):
+    from foliospark.sources import datasource
+
+    text = "\n".join(f"line {i}" for i in range(90))
+    for i in range(3):
+        (tmp_path / f"f{i}.pdf").write_bytes(draw.b.text_pdf(text))
+    (tmp_path / "note.txt").write_text("no file of ours")
+    reader = datasource.PdfReader({"path": str(tmp_path), "table": "pages"})
+    assert [len(p.paths) for p in reader.partitions()] == [3]
+    datasource.register(spark)
+    read = lambda **o: spark.read.format("pdf").options(path=str(tmp_path), **o).load()
+    assert read().count() == 9 and read(pages="2-").count() == 6
+    assert read(maxGlyphs="50", table="warnings").where("code = 'work_limit'").count() == 9
+    assert read(strict="true", maxGlyphs="50").count() == 3  # the page at fault is the last
+    for bad in ({"strict": "perhaps"}, {"maxGlyphs": "-1"}, {"mode": "spiral"}, {"table": "none"}):
+        with pytest.raises(ValueError):
+            datasource.PdfReader({"path": str(tmp_path), **bad})
+    pushing = datasource.PushdownReader({"path": str(tmp_path), "pages": "1-2,5-"})
+    from pyspark.sql.datasource import GreaterThanOrEqual
+
+    list(pushing.pushFilters([GreaterThanOrEqual(("page",), 2)]))
+    assert pushing.options.pages == ((2, 2), (5, 0))
