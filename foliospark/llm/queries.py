@@ -123,6 +123,21 @@ SELECT DISTINCT doc_id, item_id FROM ds JOIN bs USING (s)
 """
 
 
+_LEAKS = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents WHERE text IS NOT NULL),
+     b AS (SELECT DISTINCT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark WHERE text IS NOT NULL),
+     di AS (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8),
+     bi AS (SELECT item_id, w, unnest(range(1, len(w) - 6)) AS i, len(w) - 7 AS places FROM b WHERE len(w) >= 8),
+     ds AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS s FROM di),
+     bs AS (SELECT item_id, i AS t, places, array_to_string(w[i:i + 7], ' ') AS s FROM bi),
+     h AS (SELECT DISTINCT doc_id, item_id, i, t, places FROM ds JOIN bs USING (s)),
+     win AS (SELECT a.doc_id, a.item_id, a.i, count(DISTINCT z.t) AS n FROM h a JOIN h z ON a.doc_id = z.doc_id AND a.item_id = z.item_id AND z.i BETWEEN a.i AND a.i + a.places - 1 GROUP BY ALL),
+     leaks AS (SELECT doc_id, item_id, CAST(count(DISTINCT t) AS INTEGER) AS shared_shingles, least(1.0::DOUBLE, (SELECT max(n) FROM win WHERE win.doc_id = h.doc_id AND win.item_id = h.item_id) / max(places)) AS contained FROM h GROUP BY doc_id, item_id)
+"""
+SQL["p8_leaks"] = _LEAKS + "SELECT * FROM leaks"
+SQL["p8_items"] = _LEAKS + "SELECT item_id, count(*) AS n_documents, max(contained) AS contained FROM leaks GROUP BY item_id"
+
+
 def _language(spark: SparkSession, sf_dir: str):
     pages = table(spark, sf_dir, "pdf_pages").select("page_id", "text", "lang")
     return pages, language.train(pages)
