@@ -223,7 +223,14 @@ def stored_glyph_text(spark, sf_dir):
     return page_operators.layout_text(glyphs)
 
 
-@query("glyphs_without_repeats")
+@query(
+    "glyphs_without_repeats",
+    """WITH g AS (SELECT DISTINCT doc_id, page, idx, text, x, y, size, advance, dir FROM pdf_glyphs WHERE text IS NOT NULL),
+    u AS (SELECT *, greatest(size, 1.0) AS em, coalesce(sqrt(dir.x * dir.x + dir.y * dir.y), 0) AS len FROM g),
+    v AS (SELECT *, CASE WHEN len > 1e-9 THEN dir.x / len ELSE 1.0 END AS dx, CASE WHEN len > 1e-9 THEN dir.y / len ELSE 0.0 END AS dy, CASE WHEN abs(advance) > 0 THEN least(em * 0.1, abs(advance) / 3) ELSE em * 0.1 END AS reach FROM u)
+    SELECT doc_id, page, count(*) AS n FROM v b WHERE NOT EXISTS (SELECT 1 FROM v a WHERE a.doc_id = b.doc_id AND a.page = b.page AND a.text = b.text AND a.idx < b.idx AND abs(b.size - a.size) <= 0.1 * a.em
+      AND abs((b.x - a.x) * b.dx + (b.y - a.y) * b.dy) <= a.reach AND abs((b.y - a.y) * b.dx - (b.x - a.x) * b.dy) <= 0.2 * a.em) GROUP BY doc_id, page""",
+)
 def glyphs_without_repeats(spark, sf_dir):
     kept = page_operators.without_repeats(table(spark, sf_dir, "pdf_glyphs"))
     return kept.groupBy("doc_id", "page").agg(F.count(F.lit(1)).alias("n"))
