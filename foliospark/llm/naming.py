@@ -8,6 +8,11 @@ single fuller spelling has that form, and a one-letter slip is none between two
 tokens of which neither is rare beside the other.  Linked spellings are then joined to components
 (persons known only by initials are attached last).
 
+What makes a name that of an organisation is learnt beside a short list: words
+that stand with an article, a preposition or a legal form beside several
+different other words; and a shorter word stands for a learnt one if it is the
+only one it can shorten.
+
 Everything works on distinct spellings, so a spelling that fills a third of all
 rows is one row here.
 
@@ -20,6 +25,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -109,13 +115,56 @@ def parse_product(name: str) -> dict:
     return {"kind": "product", "key": key, "alts": compact, "weak": weak, "slips": slips, "shorts": _shortenings(sorted(tokens)), "tokens": sorted(set(tokens)), "seconds": [], "middle": None}
 
 
-def parse_person(name: str) -> dict:
+# Words that stand in names of organisations and not of persons.
+CUES = frozenset("of the for and fur y".split())
+#: Other words a learnt word must be seen with; and the share of such names that a word must be in, as one in so many.
+PARTNERS, WORD_SHARE = 3, 1 << 14
+
+
+def _words_of(name: str) -> list[str]:
+    return re.findall(r"[^\W_]+", re.sub(r"-+", "-", fold(_LOOK(name))))
+
+
+def organisation_words(names: DataFrame) -> frozenset[str]:
+    """Words of organisations beyond the list, from names with a cue.
+
+    At most a few for each WORD_SHARE of the names with a cue reach the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for name in pdf["name"]:
+                words = _words_of(name)
+                rest = sorted({w for w in words if len(w) > 2 and w not in CUES and w not in FILLERS and w not in LEGAL})
+                if 2 <= len(rest) <= 8 and any(w in CUES or (w in LEGAL and len(w) > 2) for w in words):
+                    rows += [(w, SEP.join(x for x in rest if x != w)) for w in rest]
+            yield pd.DataFrame(rows, columns=["word", "rest"])
+
+    pairs = names.mapInPandas(run, "word string, rest string").distinct()
+    counts = checkpointed(pairs.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    whole = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.word for r in counts.where((F.col("n") >= PARTNERS) & (F.col("n") * WORD_SHARE >= whole)).collect())
+
+
+@lru_cache(maxsize=1 << 16)
+def shortened(word: str, words: frozenset[str]) -> str | None:
+    """The only learnt word that ``word`` can be short for: its letters in order, the first one first."""
+    if len(word) < 2 or word in words:
+        return None
+    pattern = re.compile(re.escape(word[0]) + "".join(".*" + re.escape(c) for c in word[1:]))
+    found = [w for w in words if len(w) > len(word) and w[0] == word[0] and pattern.match(w)]
+    return found[0] if len(found) == 1 else None
+
+
+def parse_person(name: str, learnt: frozenset[str] = frozenset()) -> dict:
     """A person, or an organisation where a word says so."""
     text = fold(_LOOK(name))
     text = re.sub(r"-+", "-", text)
     words = re.findall(r"[^\W_]+", text)
-    if any(w in ORGANISATION for w in words) or any(w in _ORG_WORD and re.search(rf"\b{w}\.", text) for w in words) or any(w in LEGAL and len(w) > 2 for w in words):
-        tokens = sorted(_ORG_WORD.get(w, w) for w in words if w not in LEGAL and w not in FILLERS) or words
+    short = {w: full for w in words if len(w) > 2 and w not in TITLES and re.search(rf"\b{w}\.", text) and (full := shortened(w, learnt))} if learnt else {}
+    if short or any(w in ORGANISATION or w in learnt for w in words) or any(w in _ORG_WORD and re.search(rf"\b{w}\.", text) for w in words) or any(w in LEGAL and len(w) > 2 for w in words):
+        tokens = sorted(_ORG_WORD.get(w) or short.get(w, w) for w in words if w not in LEGAL and w not in FILLERS) or words
         return {"kind": "organisation", "key": "o:" + SEP.join(tokens), "alts": [], "weak": [], "slips": [("o:" + f, t) for f, t in _slips(tokens, 5)], "shorts": [("o:" + f, t) for f, t in _shortenings(tokens)], "tokens": tokens, "seconds": [], "middle": None}
     parts = [re.findall(r"[^\W_]+(?:['’-][^\W_]+)*", p) for p in text.split(",")]
     parts = [[w for w in p if w not in TITLES] for p in parts]
@@ -160,12 +209,13 @@ _SCHEMA = (
 
 def parsed(names: DataFrame, products: tuple[str, ...] = ("creator", "producer")) -> DataFrame:
     """The forms of every distinct (field, name)."""
+    learnt = organisation_words(names.where(~F.col("field").isin(*products)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for field, name, n in zip(pdf["field"], pdf["name"], pdf["n"]):
-                p = parse_product(name) if field in products else parse_person(name)
+                p = parse_product(name) if field in products else parse_person(name, learnt)
                 p["slips"] = [{"form": a, "token": b} for a, b in p["slips"]]
                 p["shorts"] = [{"form": a, "token": b} for a, b in p["shorts"]]
                 rows.append({"field": field, "name": name, "n": n, **p})
@@ -201,6 +251,8 @@ def _one_slip(a, b):
     return (distance == 1) | ((distance == 2) & (F.length(a) == F.length(b)) & (letters(a) == letters(b)))
 
 
+#: Least rarity of a weak form that links: more than half, so a single holder.
+RARE = 0.75
 #: How often a token is slipped into one certain other, at most, as a share of its keys.
 SLIP_RATE = 0.05
 
@@ -223,10 +275,10 @@ def entities(names: DataFrame, products: tuple[str, ...] = ("creator", "producer
     keys = keyed.groupBy("field", "key").agg(F.sum("n").alias("n"), F.first("tokens").alias("tokens"), F.first("kind").alias("kind"))
 
     hubs = keyed.select("field", F.col("key").alias("a"), F.explode("alts").alias("b"))
-    # Weak forms hold where exactly one of them is another spelling's own key.
+    # A weak form's rarity is one in as many spellings as have it for their own key; shared by several it proves nothing.
     weak = keyed.select("field", F.col("key").alias("a"), F.explode("weak").alias("b")).distinct()
     weak = weak.join(keys.select("field", F.col("key").alias("b")), ["field", "b"], "left_semi")
-    weak = weak.groupBy("field", "a").agg(F.count(F.lit(1)).alias("c"), F.min("b").alias("b")).where("c = 1").select("field", "a", "b")
+    weak = weak.groupBy("field", "a").agg((1 / F.count(F.lit(1))).alias("rarity"), F.min("b").alias("b")).where(F.col("rarity") >= RARE).select("field", "a", "b")
 
     tokens = keys.select("field", F.explode(F.array_distinct("tokens")).alias("token")).groupBy("field", "token").agg((F.count(F.lit(1)) - 1).alias("others"))
     slips = keyed.select("field", "key", "kind", F.explode("slips").alias("s")).select("field", "key", "s.form", "s.token").distinct()

@@ -130,6 +130,17 @@ def test_organisations_and_products(spark):
     assert any(writer - {"PenmarkWriter 3"} <= g and not g & viewer for g in got)
 
 
+def test_organisations_outside_the_list(spark):
+    places = ["Norfels", "Zufkev", "Pazmeb", "Lolnav", "Tubgog"]
+    names = [("author", n, 2) for p in places for n in (f"{p} Lighthouse Brigade", f"The {p} Lighthouse Brigade", f"Lighthouse Brigade of {p}", f"{p} Lighth. Brig.")]
+    names += [("author", f"{g} {s}", 3) for g in ("Robert", "Zoe", "Nina") for s in ("Halvgard", "Strom")]
+    got = linked(spark, names)
+    assert {frozenset(n for _, n, _ in names[i : i + 4]) for i in range(0, 20, 4)} <= got
+    assert frozenset({"Robert Halvgard"}) in got
+    words = naming.organisation_words(spark.createDataFrame([(n,) for _, n, _ in names], "name string"))
+    assert words == {"lighthouse", "brigade"} and naming.shortened("brig", words) == "brigade" and naming.shortened("xy", words) is None
+
+
 def test_fields_and_pairs(spark):
     meta = spark.createDataFrame([("A B", None, ""), ("A B", " ", "P"), ("B, A", "x" * 3000, "P")], "author string, creator string, producer string").withColumn("field", F.lit("clash"))
     names = naming.field_names(meta)
