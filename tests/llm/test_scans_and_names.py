@@ -82,6 +82,48 @@ def test_random_misreadings_are_found(spark):
     assert len(found & truth) >= 0.95 * len(truth) and len(found - truth) <= 0.02 * len(truth)
 
 
+def misread_page(seed, doc_id, pages):
+    rng, rows = random.Random(seed), []
+    for page in range(1, pages + 1):
+        y, idx = 728.0, 0
+        for line in range(6):
+            x = 72.0
+            for token in rng.choice(SENTENCES).split(" "):
+                if len(token) > 5 and rng.random() < 0.1 and "e" in token[1:-1]:
+                    at = token.index("e", 1)
+                    token = token[:at] + "c" + token[at + 1 :]
+                rows.append((doc_id, page, idx, token, x, y, 10.0, "ocr"))
+                x += 5 * (len(token) + 1)
+                idx += 1
+            y -= 14
+        rows.append((doc_id, page, idx, str(page + 7), 290.0, 24.0, 10.0, "ocr"))
+    return rows
+
+
+WORDS = "doc_id bigint, page int, idx int, text string, x double, y double, size double, origin string"
+
+
+def test_rare_words_are_met_by_a_join(spark, monkeypatch):
+    """The same words are found whether the lexicon is shipped or looked up."""
+    w = scans.read_words(spark.createDataFrame(misread_page(3, 1, 12), WORDS))
+    kinds = []
+    for share in (scans.COMMON, 64):
+        monkeypatch.setattr(scans, "COMMON", share)
+        model = scans.train(kept_pages(spark), w)
+        kinds.append({tuple(r) for r in scans.noise(w, model).collect()})
+        shipped = len(model.words)
+    assert shipped < 40 and model.rare is not None and kinds[0] == kinds[1] and any(k[3] == "misread" for k in kinds[0])
+
+
+def test_a_page_is_judged_alike_beside_many_more(spark):
+    part, rest = misread_page(3, 1, 40), [r for d in range(2, 22) for r in misread_page(d, d, 40)]
+    found = []
+    for rows in (part, part + rest):
+        w = scans.read_words(spark.createDataFrame(rows, WORDS))
+        found.append({tuple(r)[:4] for r in scans.noise(w, scans.train(kept_pages(spark), w)).where("doc_id = 1").collect()})
+    assert found[0] == found[1] and sum(k == "page_number" for *_, k in found[0]) == 40
+
+
 # ---- names
 
 
