@@ -160,7 +160,7 @@ QUERIES |= {"p2_found": p2_found, "p2_pages": p2_pages, "p2_segments": p2_segmen
 
 def _scans(spark: SparkSession, sf_dir: str):
     words = scans.read_words(table(spark, sf_dir, "pdf_glyphs"))
-    return words, scans.train(table(spark, sf_dir, "pdf_pages"), words)
+    return words, scans.train(table(spark, sf_dir, "pdf_pages"), words), table(spark, sf_dir, "pdf_images").select("doc_id", "page", "ctm")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
