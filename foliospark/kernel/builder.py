@@ -99,20 +99,36 @@ def text_pdf(text: str, per_page: int = 40, content=lines_content, wrap=stream,
     return build(objects)
 
 
+# Fixed value: what fills up a password in the standard security handler.
+PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
+
+
+def _file_key(user: bytes, owner: bytes, permissions: int, file_id: bytes, revision: int, size: int) -> bytes:
+    """The key of a file by the standard's own steps, apart from the reader's, which it is to prove."""
+    digest = hashlib.md5()
+    for part in ((user + PADDING)[:32], owner, (permissions & 0xFFFFFFFF).to_bytes(4, "little"), file_id):
+        digest.update(part)
+    key = digest.digest()
+    if revision >= 3:
+        for _ in range(50):
+            key = hashlib.md5(key[:size]).digest()
+    return key[:size]
+
+
 def encrypted(objects: dict[int, bytes], user: bytes = b"", owner: bytes = b"owner", revision: int = 3, aes: bool = False) -> bytes:
     """Streams encrypted by the standard handler, revisions 2 to 4."""
     size, file_id, permissions = (5 if revision == 2 else 16), b"folio-file-id-16", -4
-    key = hashlib.md5((owner + ciphers.PAD)[:32]).digest()
+    key = hashlib.md5((owner + PADDING)[:32]).digest()
     for _ in range(50 if revision >= 3 else 0):
         key = hashlib.md5(key).digest()
-    o = (user + ciphers.PAD)[:32]
+    o = (user + PADDING)[:32]
     for i in range(20 if revision >= 3 else 1):
         o = ciphers.rc4(bytes(b ^ i for b in key[:size]), o)
-    key = ciphers._legacy_key(user, o, permissions, file_id, revision, size, True)
+    key = _file_key(user, o, permissions, file_id, revision, size)
     if revision == 2:
-        u = ciphers.rc4(key, ciphers.PAD)
+        u = ciphers.rc4(key, PADDING)
     else:
-        u = ciphers.rc4(key, hashlib.md5(ciphers.PAD + file_id).digest())
+        u = ciphers.rc4(key, hashlib.md5(PADDING + file_id).digest())
         for i in range(1, 20):
             u = ciphers.rc4(bytes(b ^ i for b in key), u)
         u += bytes(16)
