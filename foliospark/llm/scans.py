@@ -14,16 +14,20 @@ small weight; confusion probabilities are estimated from all distinct read
 words.  All counts are exact.  The model shipped to tasks holds the words and
 word pairs with at least one in :data:`COMMON` (:data:`PAIRS`) of all running
 words, so at most so many exist at any corpus size, and the table of
-confusions; rarer pairs are backed off to their words.  Rarer words are met by a
-join: the candidates of every distinct read word are looked up in the whole
-lexicon, and what is found travels with the pages that hold the word.  Only a
-word put together from two pieces is weighed by the common words alone.
+confusions.  All others are met by joins, so that what is shipped changes no
+result: the candidates of every distinct read word are looked up in the whole
+lexicon, for the confusion probabilities and for the pages that hold the word;
+then the lines of those pages are laid out once beforehand, and the words put
+together from two pieces and the pairs of candidates that stand side by side are
+looked up too.
 
 Pages are handled in groups of :data:`GROUP` pages of a document, with one page
 of context on either side, so no task holds a whole long document; how printed
 page numbers run is voted over the whole document beforehand.
 
-Defined results: rows without text are left out; each idx of a page counts once;
+Defined results: the lexicon is every word of a page kept as text, and words
+that were only read where they are at least one in :data:`READ_ONLY` of all, for
+most of those are misreadings; rows without text are left out; each idx of a page counts once;
 a word drawn twice at one place gets the kind of its first drawing; a page of
 one line is body unless it looks like a page number; words out of the lexicon
 without a likelier candidate are kept as read.
@@ -42,7 +46,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.llm.appearance import Form, normaliser
@@ -52,6 +56,8 @@ COMMON = 1 << 18
 #: Bits of the table that spares look-ups; more words only make it spare fewer.
 SIEVE = 1 << 24
 PAIRS = 1 << 19
+#: A word never kept as text is one from this share of all words on, whatever is shipped.
+READ_ONLY = 1 << 18
 GROUP = 32
 READ_WEIGHT = 0.02
 #: Log advantage a correction needs over the word as read.
@@ -105,20 +111,16 @@ def pair_key(a: str, b: str) -> int:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept, read, pairs = Counter(), Counter(), Counter()
+    kept, by_word, pairs = Counter(), Counter(), Counter()
     for batch in batches:
         for text, times in zip(batch.column("text").to_pylist(), batch.column("times").to_pylist()):
             if times:  # a distinct read word
-                read[text] += times
+                by_word[word_of(text)] += times
                 continue
             found = list(map(word_of, text.split()))
             kept.update(found)
             pairs.update(zip(["", *found], found))
-    by_word, raw = Counter(), {}
-    for token, n in read.items():
-        by_word[word_of(token)] += n
-        raw[clean(token)] = raw.get(clean(token), 0) + n
-    words = [*((w, 0, n) for w, n in kept.items()), *((w, 1, n) for w, n in by_word.items()), *((w, 2, n) for w, n in raw.items())]
+    words = [*((w, 0, n) for w, n in kept.items()), *((w, 1, n) for w, n in by_word.items())]
     words += [(str(pair_key(a, b)), 3, n) for (a, b), n in pairs.items()]
     if words:
         w, k, n = zip(*words)
@@ -133,15 +135,18 @@ class Model:
     #: marks without letters that belong to text
     marks: frozenset[str] = frozenset()
     confusion: dict[tuple[str, str], float] = field(default_factory=dict)
-    #: (word, n): the lexicon's words that are not in ``words``, where there are any; stays with the driver
+    #: (word, n, mark): the lexicon's words that are not in ``words``, where there are any; stays with the driver
     rare: DataFrame | None = None
-    #: bits of the hashes of those words: what is not in it need not be looked up
+    #: (pair, n): the pairs that are not in ``pairs``, where there are any; stays with the driver
+    rare_pairs: DataFrame | None = None
+    #: bits of the hashes of those words and pairs: what is not in them need not be looked up
     sieve: np.ndarray | None = None
-    #: (text): the distinct read words of the training; stays with the driver
-    read: DataFrame | None = None
+    pair_sieve: np.ndarray | None = None
+    #: (text, word, n, mark): for the distinct read words of the training, the words of ``rare`` that they are or may stand for; stays with the driver
+    near: DataFrame | None = None
 
     def shipped(self) -> Model:
-        return replace(self, rare=None, read=None)
+        return replace(self, rare=None, rare_pairs=None, near=None)
 
 
 def start_confusion() -> dict[tuple[str, str], float]:
@@ -149,6 +154,16 @@ def start_confusion() -> dict[tuple[str, str], float]:
     return {(seen, printed): math.log(0.002) for printed, all_seen in CONFUSIONS.items() for seen in all_seen.split()}
 
 
+def _sieve(rows: DataFrame, at: str) -> np.ndarray | None:
+    """Bits set at the places ``at`` of the rows; None if there are no rows."""
+    bits = rows.selectExpr(f"{at} as at").selectExpr("shiftright(at, 5) as at", "shiftleft(1L, int(at & 31L)) as one").groupBy("at").agg(F.bit_or("one").alias("bits")).toPandas()
+    if not len(bits):
+        return None
+    sieve = np.zeros(SIEVE >> 5, np.uint32)
+    sieve[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint32)
+    return sieve
+
+
 def train(pages: DataFrame, words: DataFrame) -> Model:
     """Counts over all pages kept as text (``ocr_glyphs`` 0) and all read words (column ``text``)."""
     kept = pages.where("coalesce(ocr_glyphs, 0) = 0 and text is not null").select("text", F.lit(0).cast("bigint").alias("times"))
@@ -158,37 +173,59 @@ def train(pages: DataFrame, words: DataFrame) -> Model:
     score = F.sum(F.when(F.col("kind") == 0, F.col("n").cast("double")).otherwise(F.col("n") * READ_WEIGHT))
     lexicon = counts.where("kind in (0, 1)").groupBy("word").agg(score.alias("n"), F.sum(F.when(F.col("kind") == 0, F.col("n"))).alias("kept"), F.sum(F.when(F.col("kind") == 1, F.col("n"))).alias("read"))
     lexicon = checkpointed(lexicon)
-    total, kept_total, read_total, n_words = lexicon.agg(F.sum("n"), F.sum("kept"), F.sum("read"), F.count(F.lit(1))).first()
-    total, kept_total, read_total = (max(float(x or 0), 1.0) for x in (total, kept_total, read_total))
+    total, kept_total, read_total = (max(float(x or 0), 1.0) for x in lexicon.agg(F.sum("n"), F.sum("kept"), F.sum("read")).first())
+    # A mark is text if it is not much rarer on pages kept as text than on read ones.
+    mark = F.coalesce("kept", F.lit(0)) / F.lit(kept_total) > 0.2 * F.coalesce("read", F.lit(0)) / F.lit(read_total)
+    lexicon = lexicon.where((F.col("kept") > 0) | (F.col("n") * READ_ONLY >= total)).withColumn("mark", mark)
     common = F.col("n") * COMMON >= total
     top = lexicon.where(common).toPandas()
-    n_pairs = counts.where("kind = 3").agg(F.sum("n")).first()[0] or 0
-    kept_pairs = counts.where((F.col("kind") == 3) & (F.col("n") * PAIRS >= n_pairs)).select("word", "n").toPandas()
-    pairs = dict(zip(map(int, kept_pairs["word"]), kept_pairs["n"].tolist()))
-    # Words that were only read, never kept as text, are no reading of anything.
-    rare = lexicon.where(~common & (F.col("kept") > 0)).select("word", "n") if len(top) < n_words else None
-    sieve = np.zeros(SIEVE >> 5, np.uint32)
-    if rare is not None:
-        bit = F.pmod(F.xxhash64("word"), F.lit(SIEVE))
-        bits = rare.select(F.shiftright(bit, 5).alias("at"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(word), {SIEVE}L) & 31L))").alias("one")).groupBy("at").agg(F.bit_or("one").alias("bits")).toPandas()
-        sieve[bits["at"].to_numpy(np.int64)] = bits["bits"].to_numpy(np.int64).astype(np.uint32)
-    bare = top[[not core(w) for w in top["word"]]].fillna(0)
-    # A mark is text if it is not much rarer on pages kept as text than on read ones.
-    marks = frozenset(bare["word"][bare["kept"] / kept_total > 0.2 * bare["read"] / read_total])
-    model = Model(dict(zip(top["word"], top["n"].astype(float))), total, pairs, marks, start_confusion(), rare, sieve, read.select("text"))
-    model.confusion = confusion_rates(counts.where("kind = 2").select("word", "n"), model)
+    rare = lexicon.where(~common).select("word", "n", "mark")
+    sieve = _sieve(rare, f"pmod(xxhash64(word), {SIEVE}L)")
+    pairs = counts.where("kind = 3").select(F.col("word").alias("pair"), "n")
+    n_pairs = pairs.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * PAIRS >= n_pairs
+    top_pairs = pairs.where(often).toPandas()
+    rare_pairs = pairs.where(~often)
+    pair_sieve = _sieve(rare_pairs, f"cast(cast(pair as decimal(20, 0)) % {SIEVE} as bigint)")
+    model = Model(dict(zip(top["word"], top["n"].astype(float))), total, dict(zip(map(int, top_pairs["pair"]), top_pairs["n"].tolist())), frozenset(w for w, m in zip(top["word"], top["mark"]) if m and not core(w)), start_confusion(), sieve=sieve, pair_sieve=pair_sieve)
+    if sieve is not None:
+        model.rare, model.near = rare, checkpointed(rare_words(read, model, rare))
+    if pair_sieve is not None:
+        model.rare_pairs = rare_pairs
+    # How often each printed piece occurs at all, by the lexicon.
+    pieces = lexicon.agg(*(F.sum(F.when(F.col("word").contains(p.lower()), F.col("n"))) for p in CONFUSIONS)).first()
+    model.confusion = confusion_rates(read, model, {p: float(n or 0) for p, n in zip(CONFUSIONS, pieces)})
     return model
 
 
-def confusion_rates(read: DataFrame, model: Model) -> dict[tuple[str, str], float]:
-    """Log probability of each confusion, from the best reading of every distinct read word."""
+def rare_words(read: DataFrame, model: Model, rare: DataFrame) -> DataFrame:
+    """(text, word, n, mark): for each read text the words outside the shipped lexicon that it is or may stand for."""
     bc = read.sparkSession.sparkContext.broadcast(model.shipped())
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(bc.value)
+        for batch in batches:
+            found = [(t, w) for t in batch.column("text").to_pylist() for w in channel.uncommon(clean(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["text", "word"])
+
+    return read.select("text").mapInArrow(run, "text string, word string").join(rare, "word").select("text", "word", "n", "mark")
+
+
+def confusion_rates(read: DataFrame, model: Model, pieces: dict[str, float]) -> dict[tuple[str, str], float]:
+    """Log probability of each confusion, from the best reading of every distinct read word in the whole lexicon."""
+    bc = read.sparkSession.sparkContext.broadcast(model.shipped())
+    if model.near is not None:
+        near = model.near.groupBy("text").agg(F.collect_list("word").alias("words"), F.collect_list("n").alias("counts"))
+        read = read.join(near, "text", "left")
+    else:
+        read = read.select("*", F.lit(None).cast("array<string>").alias("words"), F.lit(None).cast("array<double>").alias("counts"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel, found = Channel(bc.value), Counter()
         for batch in batches:
-            for token, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
-                best = channel.best(token)
+            for text, n, words, counts in zip(*(batch.column(c).to_pylist() for c in ("text", "times", "words", "counts"))):
+                channel.rare = dict(zip(words or (), counts or ()))
+                best = channel.best(clean(text))
                 if best is not None:
                     for seen, printed, _ in best.edits:
                         found[seen, printed] += n
@@ -196,12 +233,6 @@ def confusion_rates(read: DataFrame, model: Model) -> dict[tuple[str, str], floa
 
     rows = read.mapInArrow(run, "seen string, printed string, n bigint").groupBy("seen", "printed").agg(F.sum("n").alias("n")).collect()
     found = {(r.seen, r.printed): r.n for r in rows}
-    # How often each printed piece occurs at all, by the lexicon.
-    pieces = Counter()
-    for word, n in model.words.items():
-        for printed in CONFUSIONS:
-            if printed.lower() in word:
-                pieces[printed] += n
     read_share = max(sum(found.values()), 1) / max(model.total, 1)
     scale = min(1.0, read_share) if read_share else 1.0
     return {k: math.log(min(0.05, max(1e-5, (found.get(k, 0) + 0.5) / (pieces[k[1]] * scale + 500)))) for k in model.confusion}
@@ -231,19 +262,22 @@ class Channel:
         self.widths = sorted({len(s) for s in self.by_seen})
         self.signs = "".join(s for s in self.by_seen if len(s) == 1 and not s.isalnum())
         self.known: dict[str, tuple[Reading, ...]] = {}
-        #: read token -> words of the rest of the lexicon that it is or may stand for
-        self.rare: dict[str, dict[str, float]] = {}
+        #: what was looked up for the pages at hand: words and pairs that are not shipped, and marks that are text
+        self.rare: dict[str, float] = {}
+        self.rare_pairs: dict[int, int] = {}
+        self.marks: set[str] = set()
         self.log_total = math.log(model.total)
 
     def frequency(self, word: str) -> float:
-        return self.m.words.get(word, 0.0)
+        return self.m.words.get(word) or self.rare.get(word, 0.0)
 
     def log_word(self, n: float) -> float:
         return math.log(n + 0.05) - self.log_total
 
     def log_pair(self, a: Reading, b: Reading) -> float:
         """Likelihood of b after a: pair counts backed off to word counts."""
-        n = self.m.pairs.get(pair_key(a.word, b.word), 0)
+        key = pair_key(a.word, b.word)
+        n = self.m.pairs.get(key) or self.rare_pairs.get(key, 0)
         return math.log((n + 2.0 * math.exp(self.log_word(b.n))) / (a.n + 2.0))
 
     def _edits(self, word: str) -> Iterator[tuple[str, float, tuple[str, str, int]]]:
@@ -284,13 +318,25 @@ class Channel:
 
     def uncommon(self, token: str) -> set[str]:
         """The words to look up in the rest of the lexicon for a read token: itself and what it may stand for."""
-        bare = core(clean(token)).lower()
-        return {w for w in (bare, *(w for w, _, _ in self.shapes(clean(token)))) if w and w not in self.m.words}
+        bare = core(token).lower() or token
+        return {w for w in (bare, *(w for w, _, _ in self.shapes(token))) if self.maybe_rare(w)}
 
     def maybe_rare(self, word: str) -> bool:
+        """Whether the word has to be looked up."""
+        if self.m.sieve is None or not word or word in self.m.words:
+            return False
         at = xxhash.xxh64_intdigest(word, 42) % SIEVE  # the engine's own hash of a string
         return bool(int(self.m.sieve[at >> 5]) >> (at & 31) & 1)
 
+    def maybe_rare_pair(self, key: int) -> bool:
+        """Whether the pair has to be looked up."""
+        at = key % SIEVE
+        return key not in self.m.pairs and bool(int(self.m.pair_sieve[at >> 5]) >> (at & 31) & 1)
+
+    def possible(self, token: str) -> set[str]:
+        """The words of :meth:`candidates`, and perhaps others, before rare words have been looked up."""
+        return {core(token).lower(), *(w for w, _, _ in self.shapes(token) if w in self.m.words or self.maybe_rare(w))}
+
     def candidates(self, token: str) -> tuple[Reading, ...]:
         """The word as read first, then lexicon words one or two confusions away."""
         found = self.known.get(token)
@@ -298,7 +344,7 @@ class Channel:
             return found
         if len(self.known) > 200_000:
             self.known.clear()
-        rare, words = self.rare.get(token, {}), self.m.words
+        rare, words = self.rare, self.m.words
         bare = core(token)
         low = bare.lower()
         odd = any(a.islower() and b.isupper() for a, b in zip(bare, bare[1:]))
@@ -501,6 +547,53 @@ def _divided(word: Word) -> bool:
     return len(word.text) > 1 and word.text[-1] in HYPHENS and any(c.isalpha() for c in word.text)
 
 
+def look_ups(page: Page, before: Page | None, after: Page | None, channel: Channel, pairs_of: dict) -> tuple[set[str], set[int]]:
+    """Words put together from two pieces, and pairs, that :func:`mark_body` may ask for and that are not at hand.
+
+    Which spelling of a divided word it takes is open until they have been looked up, so both are.
+    """
+    words: set[str] = set()
+    pairs: set[int] = set()
+    following = after.body[0][0] if after and after.body else None
+    prior = before.body[-1][-1] if before and before.body else None
+    options: dict[str, set[str]] = {}
+    for number, line in enumerate(page.body):
+        row: list[tuple[str, ...]] = []
+        for position, w in enumerate(line):
+            text = clean(w.text)
+            if position == 0 and prior is not None and _divided(prior):
+                head = core(clean(prior.text)[:-1])
+                both = (head + "-" + text, head + text.lstrip(HYPHENS))
+                asked = {(head + "-" + core(text)).lower(), (head + core(text)).lower()}
+                for token in both:
+                    options[token] = channel.possible(token)
+                    asked |= options[token] | {core(token).lower()}
+                words |= {a for a in asked if channel.maybe_rare(a)}
+                row.append(both)
+            elif position == len(line) - 1 and _divided(w):
+                tail = page.body[number + 1][0] if number + 1 < len(page.body) else following
+                if tail is not None:
+                    head, end = core(text[:-1]), core(clean(tail.text))
+                    words |= {a for a in ((head + "-" + end).lower(), core(head + end).lower()) if channel.maybe_rare(a)}
+            elif core(text):
+                row.append((text,))
+        prior = line[-1]
+        if channel.m.pair_sieve is None:
+            continue
+        left: tuple[str, ...] | None = None
+        for right in row:
+            keys = pairs_of.get((left, right))
+            if keys is None:
+                a, b = ({""} if tokens is None else set().union(*(options[t] if t in options else {r.word for r in channel.candidates(t)} for t in tokens)) for tokens in (left, right))
+                keys = () if len(a) == len(b) == 1 else tuple(k for k in (pair_key(x, y) for x in a for y in b) if channel.maybe_rare_pair(k))
+                if len(pairs_of) > 200_000:
+                    pairs_of.clear()
+                pairs_of[left, right] = keys
+            pairs.update(keys)
+            left = right
+    return words, pairs
+
+
 def mark_body(page: Page, before: Page | None, after: Page | None, channel: Channel) -> None:
     """Kinds and corrections of the body words of one page."""
     m = channel.m
@@ -539,7 +632,7 @@ def mark_body(page: Page, before: Page | None, after: Page | None, channel: Chan
                 w.kind = "hyphen"
                 continue
             elif not core(text):
-                if text not in m.marks:
+                if text not in m.marks and text not in channel.marks:
                     w.kind = "misread"
                 continue
             else:
@@ -644,19 +737,6 @@ def page_number_offsets(words: DataFrame) -> DataFrame:
     return counted.groupBy("doc_id").agg(F.max_by("offset", F.struct("n", -F.col("offset"))).alias("offset"))
 
 
-def rare_words(words: DataFrame, model: Model) -> DataFrame:
-    """(text, word, n): for the read texts of the training, the words outside the shipped lexicon that they are or may stand for."""
-    bc = words.sparkSession.sparkContext.broadcast(model.shipped())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        channel = Channel(bc.value)
-        for batch in batches:
-            found = [(t, w) for t in batch.column("text").to_pylist() for w in channel.uncommon(t) if channel.maybe_rare(w)]
-            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([w for _, w in found], pa.string())], names=["text", "word"])
-
-    return model.read.mapInArrow(run, "text string, word string").join(model.rare, "word")
-
-
 def frames(images: DataFrame) -> DataFrame:
     """(doc_id, page, left, right, low, high): what the images painted on each page cover."""
     at = lambda i: F.get("ctm", F.lit(i))
@@ -667,16 +747,25 @@ def frames(images: DataFrame) -> DataFrame:
     )
 
 
-#: Rows ahead of a group's words: the document's page number offset, the frames of its pages, and rare words.
-_OFFSET, _FRAME, _RARE = -(1 << 30) - 2, -(1 << 30) - 1, -(1 << 30)
+#: Rows ahead of a group's words: the document's page number offset, the frames of its pages, rare words and rare pairs.
+_OFFSET, _FRAME, _RARE, _PAIR = -(1 << 30) - 2, -(1 << 30) - 1, -(1 << 30), -(1 << 30) + 1
+_COLUMNS = {"doc_id": "bigint", "part": "int", "page": "int", "idx": "int", "text": "string", "x": "double", "y": "double", "size": "double", "word": "string"}
 
 
-def over_pages(words: DataFrame, model: Model, emit, schema: str, images: DataFrame | None = None) -> DataFrame:
-    """Run ``emit(doc_id, page)`` for every page with its neighbours at hand; one shuffle by (doc_id, part)."""
-    bc = words.sparkSession.sparkContext.broadcast(model.shipped())
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+def _rows(df: DataFrame, kind: Column, **given: Column) -> DataFrame:
+    """Rows of one kind in the columns of a group's words; those not given are NULL."""
+    given |= {"doc_id": F.col("doc_id"), "part": F.col("part"), "page": kind}
+    return df.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()))
+
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+def _by_group(rows: DataFrame, visit, flush, schema: pa.Schema, model: Model) -> DataFrame:
+    """``visit(doc_id, page, before, after, offset, channel)`` for every page with its neighbours at hand, its tuples as rows.
+
+    ``flush(doc_id, part)`` gives the rows of a group when all its pages were visited.
+    """
+    bc = rows.sparkSession.sparkContext.broadcast(model.shipped())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(bc.value)
         out: list[tuple] = []
         key, held, offset, framed = None, [], None, {}
@@ -689,53 +778,89 @@ def over_pages(words: DataFrame, model: Model, emit, schema: str, images: DataFr
                     lay_out(page)
                 for number, page in pages.items():
                     if number // GROUP == key[1]:
-                        mark_margins(page, offset)
-                        mark_body(page, pages.get(number - 1), pages.get(number + 1), channel)
-                        finish(page)
-                        out.extend(emit(key[0], page))
+                        out.extend(visit(key[0], page, pages.get(number - 1), pages.get(number + 1), offset, channel))
+                out.extend(flush(*key))
+
+        def rows_out():
+            batch = pd.DataFrame(out, columns=schema.names)
+            return pa.RecordBatch.from_pandas(batch, schema=schema, preserve_index=False)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "page", "idx", "text", "x", "y", "size", "word"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in _COLUMNS)):
                 if row[:2] != key:
                     close()
                     key, held, offset, framed = row[:2], [], None, {}
-                    channel.rare.clear()
+                    channel.rare, channel.rare_pairs, channel.marks = {}, {}, set()
                     if len(out) > 20_000:
-                        yield pd.DataFrame(out, columns=names)
+                        yield rows_out()
                         out = []
                 if row[2] == _OFFSET:
                     offset = row[3]
                 elif row[2] == _FRAME:
                     framed[row[3]] = (row[5], row[6], row[7], float(row[8]))
                 elif row[2] == _RARE:
-                    token = clean(row[4])
-                    channel.rare.setdefault(token, {})[row[8]] = row[5]
-                    channel.known.pop(token, None)
+                    channel.rare[row[8]] = row[5]
+                    if row[6] and not core(row[8]):
+                        channel.marks.add(row[8])
+                elif row[2] == _PAIR:
+                    channel.rare_pairs[int(row[8])] = int(row[5])
                 else:
                     held.append(row[2:8])
         close()
-        yield pd.DataFrame(out, columns=names)
+        yield rows_out()
+
+    types = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
+    return rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "page", "idx", "text").mapInArrow(run, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
+
 
-    def arrow(batches):
-        types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-        want = pa.schema([(n, types[c.strip().split(" ")[1]]) for n, c in zip(names, schema.split(","))])
-        for frame in run(batches):
-            yield pa.RecordBatch.from_pandas(frame, schema=want, preserve_index=False)
+def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
+    """Rows of the rare words and pairs that the lines of each group ask for, beyond those of its single words."""
+    asked: tuple[set, set] = (set(), set())
+    pairs_of: dict = {}
 
-    columns = ("doc_id", "part", "page", "idx", "text", "x", "y", "size", "word")
-    none = lambda c, t: F.lit(None).cast(t).alias(c)
-    placed = grouped(words).withColumn("word", F.lit(None).cast("string")).select(*columns)
+    def visit(doc_id, page, before, after, offset, channel):
+        for own, found in zip(asked, look_ups(page, before, after, channel, pairs_of)):
+            own |= found
+        return ()
+
+    def flush(doc_id, part):
+        out = [(doc_id, part, pair, str(k)) for pair, own in enumerate(asked) for k in own]
+        for own in asked:
+            own.clear()
+        return out
+
+    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("pair", pa.int32()), ("word", pa.string())])
+    wanted = _by_group(rows, visit, flush, schema, model)
+    known = [df.select(F.lit(pair).alias("pair"), F.col(name).alias("word"), F.col("n").cast("double").alias("n")) for pair, name, df in ((0, "word", model.rare), (1, "pair", model.rare_pairs)) if df is not None]
+    known = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+    return _rows(wanted.join(known, ["pair", "word"]), F.when(F.col("pair") == 1, _PAIR).otherwise(_RARE), x=F.col("n"), word=F.col("word"))
+
+
+def over_pages(words: DataFrame, model: Model, emit, schema: str, images: DataFrame | None = None) -> DataFrame:
+    """Run ``emit(doc_id, page)`` for every page with its neighbours at hand; a shuffle by (doc_id, part), and one more where words or pairs are looked up."""
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    want = pa.schema([(n, types[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))])
+
+    def visit(doc_id, page, before, after, offset, channel):
+        mark_margins(page, offset)
+        mark_body(page, before, after, channel)
+        finish(page)
+        return emit(doc_id, page)
+
+    rows = grouped(words).withColumn("word", F.lit(None).cast("string")).select(*_COLUMNS)
+    placed = rows
     parts = grouped(_edges_of_pages(words).select("doc_id", "page")).select("doc_id", "part").distinct()
-    offsets = parts.join(page_number_offsets(words), "doc_id").select("doc_id", "part", F.lit(_OFFSET).alias("page"), F.col("offset").cast("int").alias("idx"), none("text", "string"), none("x", "double"), none("y", "double"), none("size", "double"), none("word", "string"))
-    rows = placed.unionByName(offsets)
     if images is not None:
-        known = grouped(frames(images)).withColumn("high", F.col("high").cast("string"))
-        known = known.join(parts, ["doc_id", "part"], "left_semi")
-        rows = rows.unionByName(known.select("doc_id", "part", F.lit(_FRAME).alias("page"), F.col("page").alias("idx"), none("text", "string"), F.col("left").alias("x"), F.col("right").alias("y"), F.col("low").alias("size"), F.col("high").alias("word")))
-    if model.rare is not None:
-        met = placed.select("doc_id", "part", "text").join(rare_words(words, model), "text").distinct()
-        rows = rows.unionByName(met.select("doc_id", "part", F.lit(_RARE).alias("page"), F.lit(0).alias("idx"), "text", F.col("n").alias("x"), none("y", "double"), none("size", "double"), "word"))
-    return rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "page", "idx", "text").mapInArrow(arrow, schema)
+        known = grouped(frames(images)).join(parts, ["doc_id", "part"], "left_semi")
+        rows = rows.unionByName(_rows(known, F.lit(_FRAME), idx=F.col("page"), x=F.col("left"), y=F.col("right"), size=F.col("low"), word=F.col("high")))
+    if model.near is not None:
+        met = placed.select("doc_id", "part", "text").join(model.near, "text").select("doc_id", "part", "word", "n", "mark").distinct()
+        rows = rows.unionByName(_rows(met, F.lit(_RARE), x=F.col("n"), y=F.col("mark").cast("int"), word=F.col("word")))
+    if model.near is not None or model.rare_pairs is not None:
+        rows = rows.unionByName(_looked_up(rows, model))
+    offsets = parts.join(page_number_offsets(words), "doc_id")
+    rows = rows.unionByName(_rows(offsets, F.lit(_OFFSET), idx=F.col("offset")))
+    return _by_group(rows, visit, lambda doc_id, part: (), want, model)
 
 
 def _pages(rows: list[tuple]) -> dict[int, Page]:

@@ -126,6 +126,26 @@ def test_rare_words_are_met_by_a_join(spark, monkeypatch):
     assert shipped < 40 and model.rare is not None and kinds[0] == kinds[1] and any(k[3] == "misread" for k in kinds[0])
 
 
+def test_what_is_shipped_changes_no_result(spark, scanned, monkeypatch):
+    """Pairs, words of two pieces, marks and confusion rates are those of the whole lexicon."""
+    sentences = ["The hungry dogs eat fresh bread.", "A sleepy cat rests & sleeps.", *SENTENCES]
+    kept = kept_pages(spark).unionByName(spark.createDataFrame([(" ".join(sentences), 0)] * 20, "text string, ocr_glyphs int"))
+    lines = [(728, 86, "The hungry dogs cat fresh bread."), (714, 72, "A sleepy cat rests & sleeps."), (700, 72, "A visiting inspector remembers the low-"), (686, 72, "water marks between two tides. Every par-"), (672, 72, "ish cleik could not find the sccond ¦¦ car-"), (658, 72, "go lcdger with great care.")]
+    w = scanned[0].unionByName(scans.read_words(spark.createDataFrame(words(spark, 9, 1, lines) + misread_page(3, 8, 12), WORDS)))
+    found, rates, paragraphs = [], [], []
+    for words_share, pairs_share in ((scans.COMMON, scans.PAIRS), (scans.COMMON, 24), (24, scans.PAIRS), (24, 24)):
+        monkeypatch.setattr(scans, "COMMON", words_share)
+        monkeypatch.setattr(scans, "PAIRS", pairs_share)
+        model = scans.train(kept, w)
+        found.append(sorted(tuple(r) for r in scans.noise(w, model).collect()))
+        rates.append(model.confusion)
+        paragraphs.append(sorted(tuple(r) for r in scans.repaired_paragraphs(w, model).collect()))
+    assert len(model.words) < 20 and len(model.pairs) < 20
+    assert (9, 1, 3, "misread", "eat") in found[0] and (9, 1, 10, "misread", None) not in found[0]
+    assert all(f == found[0] for f in found) and all(p == paragraphs[0] for p in paragraphs)
+    assert all(r == pytest.approx(rates[0]) for r in rates)
+
+
 def test_a_page_is_judged_alike_beside_many_more(spark):
     part, rest = misread_page(3, 1, 40), [r for d in range(2, 22) for r in misread_page(d, d, 40)]
     found = []
