@@ -355,6 +355,26 @@ def test_thresholds_lie_between_whole_and_cut_ends():
     assert -3 < found[0] < 2.5 and found[3] > -1 and 1 not in found
 
 
+def test_thresholds_are_learnt_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(truncation, "SAMPLE", 200, raising=False)
+    rng = random.Random(8)
+    rows = [(source_file(rng), rng.choice(["go", "java"])) for _ in range(1600)] + [(source_file(rng), f"rare{i}") for i in range(20)]
+    rows = [(t[: rng.randint(60, len(t) - 12)] if i % 8 == 0 else t, x) for i, (t, x) in enumerate(rows)]
+    rows += [(rows[0][0], None), *[(t, "java") for t, x in rows[:300] if x == "java"], (None, "go"), ("", "go")]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    model = truncation.count_contexts(df)
+    tables = {}
+    for text, lang in {t: x for t, x in rows if t and x}.items():
+        for inside, pieces in enumerate(([text], truncation.random_cuts(text))):
+            for p in pieces:
+                odds = truncation.log_odds([truncation.final_context(p[-truncation.TAIL :].encode())], model, bool(inside))[0]
+                for key in (lang, None):
+                    tables.setdefault(key, np.zeros((2, 4, truncation._bin(truncation.HIGHEST) + 1)))[inside, truncation.ending(p), truncation._bin(odds)] += 1
+    usual = truncation.fewest_errors(*tables[None])
+    bins = {(None, how): at for how, at in usual.items()} | {(x, how): at for x in ("go", "java") for how, at in truncation.fewest_errors(*tables[x], usual).items()}
+    assert truncation.learn_thresholds(df, model).of == {k: truncation.LOWEST + at * truncation.BIN for k, at in bins.items()}
+
+
 def test_a_part_is_judged_alike_beside_much_more(spark):
     rng = random.Random(6)
 
