@@ -16,10 +16,11 @@ word pairs with at least one in :data:`COMMON` (:data:`PAIRS`) of all running
 words, so at most so many exist at any corpus size, and the table of
 confusions.  All others are met by joins, so that what is shipped changes no
 result: the candidates of every distinct read word are looked up in the whole
-lexicon, for the confusion probabilities and for the pages that hold the word;
-then the lines of those pages are laid out once beforehand, and the words put
-together from two pieces and the pairs of candidates that stand side by side are
-looked up too.
+lexicon, for the confusion probabilities and for the pages that hold the word.
+Words put together from two pieces and pairs of candidates side by side are known
+only once a page is laid out: lines that need none beyond what is at hand are
+decoded there and then, and a page with others is packed into one row that meets
+the answers to them.
 
 Pages are handled in groups of :data:`GROUP` pages of a document, with one page
 of context on either side, so no task holds a whole long document; how printed
@@ -36,7 +37,9 @@ without a likelier candidate are kept as read.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
@@ -259,9 +262,15 @@ class Channel:
         self.by_seen: dict[str, list[tuple[str, float]]] = {}
         for (seen, printed), p in model.confusion.items():
             self.by_seen.setdefault(seen, []).append((printed, p))
-        self.widths = sorted({len(s) for s in self.by_seen})
+        #: first character -> what may be seen, narrow first, and what it may stand for
+        self.by_first: dict[str, list[tuple[str, list[tuple[str, float]]]]] = {}
+        for seen in sorted(self.by_seen, key=len):
+            self.by_first.setdefault(seen[0], []).append((seen, self.by_seen[seen]))
         self.signs = "".join(s for s in self.by_seen if len(s) == 1 and not s.isalnum())
         self.known: dict[str, tuple[Reading, ...]] = {}
+        self.may_be: dict[str, set[str]] = {}
+        #: pieces of two neighbours -> pairs to look up
+        self.pairs_of: dict[tuple, tuple[int, ...]] = {}
         #: what was looked up for the pages at hand: words and pairs that are not shipped, and marks that are text
         self.rare: dict[str, float] = {}
         self.rare_pairs: dict[int, int] = {}
@@ -281,12 +290,11 @@ class Channel:
         return math.log((n + 2.0 * math.exp(self.log_word(b.n))) / (a.n + 2.0))
 
     def _edits(self, word: str) -> Iterator[tuple[str, float, tuple[str, str, int]]]:
-        for i in range(len(word)):
-            for width in self.widths:
-                seen = word[i : i + width]
-                if len(seen) == width:
-                    for printed, p in self.by_seen.get(seen, ()):
-                        yield word[:i] + printed + word[i + width :], p, (seen, printed, i)
+        for i, c in enumerate(word):
+            for seen, options in self.by_first.get(c, ()):
+                if len(seen) == 1 or word.startswith(seen, i):
+                    for printed, p in options:
+                        yield word[:i] + printed + word[i + len(seen) :], p, (seen, printed, i)
 
     def forms(self, token: str) -> list[str]:
         """The core as read, and with signs at its edges that may stand for letters."""
@@ -335,7 +343,12 @@ class Channel:
 
     def possible(self, token: str) -> set[str]:
         """The words of :meth:`candidates`, and perhaps others, before rare words have been looked up."""
-        return {core(token).lower(), *(w for w, _, _ in self.shapes(token) if w in self.m.words or self.maybe_rare(w))}
+        found = self.may_be.get(token)
+        if found is None:
+            if len(self.may_be) > 200_000:
+                self.may_be.clear()
+            found = self.may_be[token] = {core(token).lower(), *(w for w, _, _ in self.shapes(token) if w in self.m.words or self.maybe_rare(w))}
+        return found
 
     def candidates(self, token: str) -> tuple[Reading, ...]:
         """The word as read first, then lexicon words one or two confusions away."""
@@ -547,61 +560,73 @@ def _divided(word: Word) -> bool:
     return len(word.text) > 1 and word.text[-1] in HYPHENS and any(c.isalpha() for c in word.text)
 
 
-def look_ups(page: Page, before: Page | None, after: Page | None, channel: Channel, pairs_of: dict) -> tuple[set[str], set[int]]:
-    """Words put together from two pieces, and pairs, that :func:`mark_body` may ask for and that are not at hand.
+def neighbours(before: Page | None, after: Page | None) -> tuple[Word | None, Word | None]:
+    """The last word of the body before and the first of the body after."""
+    return (before.body[-1][-1] if before and before.body else None, after.body[0][0] if after and after.body else None)
+
+
+def look_ups(page: Page, prior: Word | None, following: Word | None, channel: Channel) -> dict[int, tuple[set[str], set[int]]]:
+    """For the body's lines that ask for any: words put together from two pieces, and pairs, that are not at hand.
 
-    Which spelling of a divided word it takes is open until they have been looked up, so both are.
+    Which spelling of a divided word is taken may be open until they have been looked up; then both are asked for.
     """
-    words: set[str] = set()
-    pairs: set[int] = set()
-    following = after.body[0][0] if after and after.body else None
-    prior = before.body[-1][-1] if before and before.body else None
-    options: dict[str, set[str]] = {}
+    asked_by = {}
     for number, line in enumerate(page.body):
+        words: set[str] = set()
+        pairs: set[int] = set()
         row: list[tuple[str, ...]] = []
+        joined: tuple[str, ...] = ()
         for position, w in enumerate(line):
             text = clean(w.text)
             if position == 0 and prior is not None and _divided(prior):
                 head = core(clean(prior.text)[:-1])
-                both = (head + "-" + text, head + text.lstrip(HYPHENS))
-                asked = {(head + "-" + core(text)).lower(), (head + core(text)).lower()}
-                for token in both:
-                    options[token] = channel.possible(token)
-                    asked |= options[token] | {core(token).lower()}
-                words |= {a for a in asked if channel.maybe_rare(a)}
-                row.append(both)
+                joined = (head + "-" + text, head + text.lstrip(HYPHENS))
+                spelt = (head + "-" + core(text)).lower(), (head + core(text)).lower()
+                open_ = set(filter(channel.maybe_rare, spelt))
+                words |= open_
+                if not open_:
+                    joined = (joined[0 if channel.frequency(spelt[0]) > channel.frequency(spelt[1]) else 1],)
+                for token in joined:
+                    words.update(filter(channel.maybe_rare, channel.possible(token)))
+                row.append(joined)
             elif position == len(line) - 1 and _divided(w):
                 tail = page.body[number + 1][0] if number + 1 < len(page.body) else following
                 if tail is not None:
                     head, end = core(text[:-1]), core(clean(tail.text))
-                    words |= {a for a in ((head + "-" + end).lower(), core(head + end).lower()) if channel.maybe_rare(a)}
+                    words.update(filter(channel.maybe_rare, ((head + "-" + end).lower(), core(head + end).lower())))
             elif core(text):
                 row.append((text,))
         prior = line[-1]
-        if channel.m.pair_sieve is None:
-            continue
         left: tuple[str, ...] | None = None
-        for right in row:
-            keys = pairs_of.get((left, right))
+        for right in row if channel.m.pair_sieve is not None else ():
+            key = left, right, right is joined
+            keys = channel.pairs_of.get(key) if left is not joined else None
             if keys is None:
-                a, b = ({""} if tokens is None else set().union(*(options[t] if t in options else {r.word for r in channel.candidates(t)} for t in tokens)) for tokens in (left, right))
+                a, b = ({""} if tokens is None else set().union(*map(channel.possible, tokens)) if tokens is joined else {r.word for r in channel.candidates(tokens[0])} for tokens in (left, right))
                 keys = () if len(a) == len(b) == 1 else tuple(k for k in (pair_key(x, y) for x in a for y in b) if channel.maybe_rare_pair(k))
-                if len(pairs_of) > 200_000:
-                    pairs_of.clear()
-                pairs_of[left, right] = keys
+                if left is not joined:
+                    if len(channel.pairs_of) > 200_000:
+                        channel.pairs_of.clear()
+                    channel.pairs_of[key] = keys
             pairs.update(keys)
             left = right
-    return words, pairs
+        if words or pairs:
+            asked_by[number] = words, pairs
+    return asked_by
+
 
+#: A word of digits and of letters that are taken for digits.
+_DIGIT_WORD = re.compile(r"(?=.*[0-9])[0-9lOoISB!|]*[lOoISB!|][0-9lOoISB!|]*")
 
-def mark_body(page: Page, before: Page | None, after: Page | None, channel: Channel) -> None:
-    """Kinds and corrections of the body words of one page."""
+
+def mark_body(page: Page, leading: Word | None, following: Word | None, channel: Channel, numbers: Iterable[int]) -> None:
+    """Kinds and corrections of the body words of the lines ``numbers`` of one page, each for itself."""
     m = channel.m
     lines = page.body
-    following = after.body[0][0] if after and after.body else None
-    leading = before.body[-1][-1] if before and before.body and _divided(before.body[-1][-1]) else None
-    last = ""
-    for number, line in enumerate(lines):
+    if leading is not None and not _divided(leading):
+        leading = None
+    for number in numbers:
+        line = lines[number]
         tokens, owners = [], []
         for position, w in enumerate(line):
             text = clean(w.text)
@@ -646,7 +671,7 @@ def mark_body(page: Page, before: Page | None, after: Page | None, channel: Chan
                 if lead and all(at < lead for _, _, at in reading.edits):
                     continue  # the mistake is in the first piece
                 w.kind, w.fixed = "misread", reading.word
-            elif re.fullmatch(r"(?=.*[0-9])[0-9lOoISB!|]*[lOoISB!|][0-9lOoISB!|]*", bare) and not channel.frequency(bare.lower()):
+            elif not bare.isalpha() and _DIGIT_WORD.fullmatch(bare) and not channel.frequency(bare.lower()):
                 w.kind, w.fixed = "misread", bare.translate(_DIGITS)
 
 
@@ -747,8 +772,8 @@ def frames(images: DataFrame) -> DataFrame:
     )
 
 
-#: Rows ahead of a group's words: the document's page number offset, the frames of its pages, rare words and rare pairs.
-_OFFSET, _FRAME, _RARE, _PAIR = -(1 << 30) - 2, -(1 << 30) - 1, -(1 << 30), -(1 << 30) + 1
+#: Rows ahead of a group's words: the document's page number offset, the frames of its pages, and rare words.
+_OFFSET, _FRAME, _RARE = -(1 << 30) - 2, -(1 << 30) - 1, -(1 << 30)
 _COLUMNS = {"doc_id": "bigint", "part": "int", "page": "int", "idx": "int", "text": "string", "x": "double", "y": "double", "size": "double", "word": "string"}
 
 
@@ -758,42 +783,86 @@ def _rows(df: DataFrame, kind: Column, **given: Column) -> DataFrame:
     return df.select(*(given.get(c, F.lit(None)).cast(t).alias(c) for c, t in _COLUMNS.items()))
 
 
-def _by_group(rows: DataFrame, visit, flush, schema: pa.Schema, model: Model) -> DataFrame:
-    """``visit(doc_id, page, before, after, offset, channel)`` for every page with its neighbours at hand, its tuples as rows.
+def _packed(page: Page, leading: Word | None, following: Word | None, lines: list[int], channel: Channel) -> bytes:
+    """A laid out page whose ``lines`` are still to be marked, with the rare words and marks at hand for them."""
+    at = {id(w): i for i, w in enumerate(page.words)}
+    flat = lambda w: w and (w.idx, w.text, w.x, w.y, w.size, w.kind, w.fixed)
+    rare, marks = {}, []
+    for w in (w for number in lines for w in page.body[number]):
+        text = clean(w.text)
+        if core(text):
+            rare.update((r.word, channel.rare[r.word]) for r in channel.candidates(text) if r.word in channel.rare)
+        elif text in channel.marks:
+            marks.append(text)
+    body = [[at[id(w)] for w in line] for line in page.body]
+    copies = [(at[id(a)], at[id(b)]) for a, b in page.copies]
+    return zlib.compress(pickle.dumps((page.number, list(map(flat, page.words)), body, copies, flat(leading), flat(following), lines, rare, marks), 5), 1)
+
+
+def _unpacked(packed: bytes) -> tuple[Page, Word | None, Word | None, list[int], dict[str, float], list[str]]:
+    number, words, body, copies, leading, following, lines, rare, marks = pickle.loads(zlib.decompress(packed))
+    words = [Word(*w) for w in words]
+    page = Page(number, words, body=[[words[i] for i in line] for line in body], copies=[(words[i], words[j]) for i, j in copies])
+    return page, leading and Word(*leading), following and Word(*following), lines, rare, marks
+
 
-    ``flush(doc_id, part)`` gives the rows of a group when all its pages were visited.
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=schema.names), schema=schema, preserve_index=False)
+
+
+def _values(column: pa.Array) -> list:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
+def over_pages(words: DataFrame, model: Model, emit, schema: str, images: DataFrame | None = None) -> DataFrame:
+    """The rows ``emit(doc_id, page)`` of every page, whose ``schema`` begins with doc_id and page.
+
+    One shuffle by (doc_id, part); pages that need more looked up are shuffled once more, packed.
     """
-    bc = rows.sparkSession.sparkContext.broadcast(model.shipped())
+    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    want = pa.schema([(n, types[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))])
+    wider = want.append(pa.field("packed", pa.binary())).append(pa.field("words", pa.list_(pa.string()))).append(pa.field("pairs", pa.list_(pa.string())))
+    bc = words.sparkSession.sparkContext.broadcast(model.shipped())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         channel = Channel(bc.value)
         out: list[tuple] = []
         key, held, offset, framed = None, [], None, {}
+        waiting = 0  # bytes of packed pages
 
         def close():
-            if held:
-                pages = _pages(held)
-                for page in pages.values():
-                    page.frame = framed.get(page.number)
-                    lay_out(page)
-                for number, page in pages.items():
-                    if number // GROUP == key[1]:
-                        out.extend(visit(key[0], page, pages.get(number - 1), pages.get(number + 1), offset, channel))
-                out.extend(flush(*key))
-
-        def rows_out():
-            batch = pd.DataFrame(out, columns=schema.names)
-            return pa.RecordBatch.from_pandas(batch, schema=schema, preserve_index=False)
+            nonlocal waiting
+            if not held:
+                return
+            pages = _pages(held)
+            for page in pages.values():
+                page.frame = framed.get(page.number)
+                lay_out(page)
+            for number, page in pages.items():
+                if number // GROUP != key[1]:
+                    continue
+                edges = neighbours(pages.get(number - 1), pages.get(number + 1))
+                asked = look_ups(page, *edges, channel)
+                mark_margins(page, offset)
+                mark_body(page, *edges, channel, (i for i in range(len(page.body)) if i not in asked))
+                if asked:
+                    every = [sorted(set().union(*own)) for own in zip(*asked.values())]
+                    packed = _packed(page, *edges, list(asked), channel)
+                    waiting += len(packed)
+                    out.append((key[0], number, *(None for _ in want.names[2:]), packed, every[0], list(map(str, every[1]))))
+                else:
+                    finish(page)
+                    out.extend((*row, None, None, None) for row in emit(key[0], page))
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in _COLUMNS)):
+            for row in zip(*(_values(batch.column(c)) for c in _COLUMNS)):
                 if row[:2] != key:
                     close()
                     key, held, offset, framed = row[:2], [], None, {}
-                    channel.rare, channel.rare_pairs, channel.marks = {}, {}, set()
-                    if len(out) > 20_000:
-                        yield rows_out()
-                        out = []
+                    channel.rare, channel.marks = {}, set()
+                    if len(out) + (waiting >> 8) > 20_000:
+                        yield _batch(out, wider)
+                        out, waiting = [], 0
                 if row[2] == _OFFSET:
                     offset = row[3]
                 elif row[2] == _FRAME:
@@ -802,65 +871,52 @@ def _by_group(rows: DataFrame, visit, flush, schema: pa.Schema, model: Model) ->
                     channel.rare[row[8]] = row[5]
                     if row[6] and not core(row[8]):
                         channel.marks.add(row[8])
-                elif row[2] == _PAIR:
-                    channel.rare_pairs[int(row[8])] = int(row[5])
                 else:
                     held.append(row[2:8])
         close()
-        yield rows_out()
-
-    types = {pa.int64(): "bigint", pa.int32(): "int", pa.string(): "string", pa.bool_(): "boolean"}
-    return rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "page", "idx", "text").mapInArrow(run, ", ".join(f"{f.name} {types[f.type]}" for f in schema))
-
-
-def _looked_up(rows: DataFrame, model: Model) -> DataFrame:
-    """Rows of the rare words and pairs that the lines of each group ask for, beyond those of its single words."""
-    asked: tuple[set, set] = (set(), set())
-    pairs_of: dict = {}
-
-    def visit(doc_id, page, before, after, offset, channel):
-        for own, found in zip(asked, look_ups(page, before, after, channel, pairs_of)):
-            own |= found
-        return ()
-
-    def flush(doc_id, part):
-        out = [(doc_id, part, pair, str(k)) for pair, own in enumerate(asked) for k in own]
-        for own in asked:
-            own.clear()
-        return out
-
-    schema = pa.schema([("doc_id", pa.int64()), ("part", pa.int32()), ("pair", pa.int32()), ("word", pa.string())])
-    wanted = _by_group(rows, visit, flush, schema, model)
-    known = [df.select(F.lit(pair).alias("pair"), F.col(name).alias("word"), F.col("n").cast("double").alias("n")) for pair, name, df in ((0, "word", model.rare), (1, "pair", model.rare_pairs)) if df is not None]
-    known = known[0] if len(known) == 1 else known[0].unionByName(known[1])
-    return _rows(wanted.join(known, ["pair", "word"]), F.when(F.col("pair") == 1, _PAIR).otherwise(_RARE), x=F.col("n"), word=F.col("word"))
-
+        yield _batch(out, wider)
 
-def over_pages(words: DataFrame, model: Model, emit, schema: str, images: DataFrame | None = None) -> DataFrame:
-    """Run ``emit(doc_id, page)`` for every page with its neighbours at hand; a shuffle by (doc_id, part), and one more where words or pairs are looked up."""
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-    want = pa.schema([(n, types[t]) for n, t in (c.strip().split(" ") for c in schema.split(","))])
-
-    def visit(doc_id, page, before, after, offset, channel):
-        mark_margins(page, offset)
-        mark_body(page, before, after, channel)
-        finish(page)
-        return emit(doc_id, page)
-
-    rows = grouped(words).withColumn("word", F.lit(None).cast("string")).select(*_COLUMNS)
-    placed = rows
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        channel = Channel(bc.value)
+        for batch in batches:
+            out: list[tuple] = []
+            for doc_id, packed, found in zip(*(batch.column(c) for c in ("doc_id", "packed", "found"))):
+                doc_id, packed, found = doc_id.as_py(), packed.as_py(), found.as_py()
+                page, leading, following, lines, rare, marks = _unpacked(packed)
+                found = found or ()
+                channel.rare = rare | {f["key"]: f["n"] for f in found if not f["pair"]}
+                channel.rare_pairs = {int(f["key"]): int(f["n"]) for f in found if f["pair"]}
+                channel.marks = set(marks)
+                mark_body(page, leading, following, channel, lines)
+                finish(page)
+                out.extend(emit(doc_id, page))
+                if len(out) > 20_000:
+                    yield _batch(out, want)
+                    out = []
+            yield _batch(out, want)
+
+    zero = F.lit(0)
+    placed = grouped(words).withColumn("word", F.lit(None).cast("string")).select(*_COLUMNS)
     parts = grouped(_edges_of_pages(words).select("doc_id", "page")).select("doc_id", "part").distinct()
+    offsets = parts.join(page_number_offsets(words), "doc_id")
+    rows = placed.unionByName(_rows(offsets, F.lit(_OFFSET), idx=F.col("offset")))
     if images is not None:
         known = grouped(frames(images)).join(parts, ["doc_id", "part"], "left_semi")
         rows = rows.unionByName(_rows(known, F.lit(_FRAME), idx=F.col("page"), x=F.col("left"), y=F.col("right"), size=F.col("low"), word=F.col("high")))
     if model.near is not None:
         met = placed.select("doc_id", "part", "text").join(model.near, "text").select("doc_id", "part", "word", "n", "mark").distinct()
-        rows = rows.unionByName(_rows(met, F.lit(_RARE), x=F.col("n"), y=F.col("mark").cast("int"), word=F.col("word")))
-    if model.near is not None or model.rare_pairs is not None:
-        rows = rows.unionByName(_looked_up(rows, model))
-    offsets = parts.join(page_number_offsets(words), "doc_id")
-    rows = rows.unionByName(_rows(offsets, F.lit(_OFFSET), idx=F.col("offset")))
-    return _by_group(rows, visit, lambda doc_id, part: (), want, model)
+        rows = rows.unionByName(_rows(met, F.lit(_RARE), idx=zero, x=F.col("n"), y=F.col("mark").cast("int"), word=F.col("word")))
+    first = rows.repartition("doc_id", "part").sortWithinPartitions("doc_id", "part", "page", "idx", "text").mapInArrow(run, schema + ", packed binary, words array<string>, pairs array<string>")
+    looked_up = [(pair, key, df) for pair, key, df in ((False, "word", model.rare), (True, "pair", model.rare_pairs)) if df is not None]
+    if not looked_up:
+        return first.select(*want.names)
+    first = checkpointed(first)
+    left = first.where("packed is not null")
+    found = [left.select("doc_id", "page", F.explode(f"{name}s").alias("key")).join(df.select(F.col(name).alias("key"), F.col("n").cast("double").alias("n")), "key").select("doc_id", "page", F.struct(F.lit(pair).alias("pair"), "key", "n").alias("found")) for pair, name, df in looked_up]
+    found = found[0] if len(found) == 1 else found[0].unionByName(found[1])
+    found = found.groupBy("doc_id", "page").agg(F.collect_list("found").alias("found"))
+    second = left.select("doc_id", "page", "packed").join(found, ["doc_id", "page"], "left").mapInArrow(rest, schema)
+    return first.where("packed is null").select(*want.names).unionByName(second)
 
 
 def _pages(rows: list[tuple]) -> dict[int, Page]:
