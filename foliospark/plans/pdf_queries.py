@@ -49,7 +49,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawn(spark: SparkSession, sf_dir: str, make=draw.b.text_pdf) -> DataFrame:
-    return draw.files(documents(spark, sf_dir), lambda text: make(text))
+    one = lambda text: make(text)
+    one.many = getattr(make, "many", None)
+    return draw.files(documents(spark, sf_dir), one)
 
 
 def styled(content) -> Callable[[str], bytes]:
