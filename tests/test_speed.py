@@ -5,9 +5,10 @@ from __future__ import annotations
 import time
 
 import numpy as np
+import pytest
 
-from foliospark.kernel import ciphers
-from foliospark.plans import pdf_files
+from foliospark.kernel import ciphers, filters
+from foliospark.plans import feature_files, pdf_files
 
 
 def seconds(work) -> float:
@@ -40,3 +41,38 @@ def test_encrypted_files_drawn_together():
     rows = [{"text": t} for t in texts] * 64
     assert make.many(rows[:4]) == [make(t) for t in texts]
     assert in_units(lambda: make.many(rows)) < 25
+
+
+# ---- rows of predicted data
+
+
+def naive_rows(data: bytes, row: int, step: int) -> bytes:
+    out, above = [], [0] * row
+    for at in range(0, len(data), row + 1):
+        kind, line = data[at], list(data[at + 1 : at + 1 + row])
+        have = len(line)
+        line += [0] * (row - have)
+        for i in range(row):
+            a, b, c = line[i - step] if i >= step else 0, above[i], above[i - step] if i >= step else 0
+            p = a + b - c
+            line[i] = (line[i] + [0, a, b, (a + b) // 2, min((a, b, c), key=lambda v: abs(p - v))][kind]) & 255
+        out.append(bytes(line[:have]))
+        above = line
+    return b"".join(out)
+
+
+@pytest.mark.parametrize("colors,columns", [(1, 1), (1, 16), (3, 5), (4, 24), (1, 95), (1, 200), (3, 70)])
+def test_png_rows_against_naive(colors, columns):
+    rng = np.random.default_rng(colors * columns)
+    row = colors * columns
+    data = b"".join(bytes([int(rng.integers(5))]) + rng.bytes(row) for _ in range(60))
+    for cut in (len(data), len(data) - row // 2, len(data) - row):
+        assert filters.unpredict(data[:cut], {"Predictor": 15, "Colors": colors, "Columns": columns}) == naive_rows(data[:cut], row, colors)
+
+
+def test_short_png_rows_are_cheap():
+    rng = np.random.default_rng(1)
+    data = b"".join(bytes([n % 5]) + rng.bytes(16) for n in range(5000))
+    text = "\n".join("some words of a line %d" % i for i in range(2000))
+    assert in_units(lambda: filters.unpredict(data, {"Predictor": 15, "Columns": 16})) < 1.05
+    assert in_units(lambda: feature_files.png_mixed_pdf(text)) < 1.1
