@@ -209,7 +209,7 @@ query("columns_forced", CELLS + "SELECT doc_id, string_agg(p_name, chr(10) ORDER
 @query("superscript_text", "SELECT p_partkey AS doc_id, p_brand || p_size AS text FROM part")
 def superscript_text(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.col("p_brand").alias("name"), F.col("p_size").cast("string").alias("raised"))
-    return tables.extract(draw.files(rows, draw.raised_pdf), "documents").select("doc_id", "text")
+    return tables.extract(draw.files(spread(rows), draw.raised_pdf), "documents").select("doc_id", "text")
 
 
 @query("bidi_text", "SELECT CAST(r_regionkey AS BIGINT) AS doc_id, translate(upper(r_name), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '" + "".join(draw.hebrew(chr(c)) for c in range(65, 91)) + "') AS text FROM region")

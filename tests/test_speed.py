@@ -10,7 +10,7 @@ import pytest
 from foliospark.kernel import builder as b
 from foliospark.kernel import ciphers, extract, filters
 from foliospark.kernel.layout import Layout, Options
-from foliospark.plans import feature_files, pdf_files
+from foliospark.plans import feature_files, pdf_files, pdf_queries
 
 
 def seconds(work) -> float:
@@ -115,3 +115,13 @@ def test_strings_are_placed_together_as_one_by_one():
 def test_glyph_limit_inside_pending_strings():
     page = extract.read(b.text_pdf("abcdef\nghijkl"), extract.Options(limits=extract.Limits(glyphs=9))).pages[0]
     assert page.text() == "abcdef\nghi" and page.warnings[0][0] == "work_limit"
+
+
+# ---- tables of one small file
+
+
+def test_small_table_is_drawn_by_all_cores(spark, tmp_path):
+    spark.range(40).selectExpr("id as p_partkey", "concat('Brand#', id) as p_brand", "cast(id % 50 as int) as p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = pdf_queries.QUERIES["superscript_text"](spark, str(tmp_path))
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    assert {(r.doc_id, r.text) for r in found.collect()} == {(i, f"Brand#{i}{i % 50}") for i in range(40)}
