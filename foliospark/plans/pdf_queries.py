@@ -113,9 +113,8 @@ def glyph_positions(spark, sf_dir):
 
 @query("region_text", fill(PAGE_SQL, where="WHERE r <= 5"))
 def region_text(spark, sf_dir):
-    region = geometry.rect(*(F.lit(float(v)) for v in (0, 660, 100_000, 720)))
-    glyphs = page_operators.glyphs_in(tables.extract(drawn(spark, sf_dir), "glyphs"), region)
-    return page_operators.layout_text(glyphs)
+    # Laid out where the page is read: its glyphs are all there, so no glyph rows are made and shuffled.
+    return pages_of(spark, sf_dir, options=Options(region=(0.0, 660.0, 100_000.0, 720.0), layout=LayoutOptions(keep_off_page=True)))
 
 
 @query("content_order_text", fill(PAGE_SQL))

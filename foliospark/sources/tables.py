@@ -79,7 +79,7 @@ def rows(table: str, doc_id: int, content: bytes | None, options: Options) -> It
         for page in kernel.read_pages(content or b"", _needs(table, options), doc):
             if table == "pages":
                 n = sum(len(r) for r in page.runs)
-                yield {"doc_id": doc_id, "page": page.number, "text": page.text(options.layout), "n_glyphs": n, "ocr_glyphs": page.ocr_glyphs, "image_count": page.image_count, "media_box": _rect(page.media_box), "crop_box": _rect(page.crop_box), "rotation": page.rotation}
+                yield {"doc_id": doc_id, "page": page.number, "text": page.text(options.layout) if options.region is None else page.text_in(options.region, options.layout), "n_glyphs": n, "ocr_glyphs": page.ocr_glyphs, "image_count": page.image_count, "media_box": _rect(page.media_box), "crop_box": _rect(page.crop_box), "rotation": page.rotation}
             elif table == "images":
                 for idx, image in enumerate(page.images):
                     try:

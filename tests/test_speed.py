@@ -125,3 +125,14 @@ def test_small_table_is_drawn_by_all_cores(spark, tmp_path):
     found = pdf_queries.QUERIES["superscript_text"](spark, str(tmp_path))
     assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     assert {(r.doc_id, r.text) for r in found.collect()} == {(i, f"Brand#{i}{i % 50}") for i in range(40)}
+
+
+# ---- regions of pages
+
+
+def test_region_is_laid_out_where_the_page_is_read(spark, tmp_path):
+    texts = [(1, "\n".join(f"line {k}" for k in range(50))), (2, ""), (3, "one " + "x" * 150)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    found = pdf_queries.QUERIES["region_text"](spark, str(tmp_path))
+    assert "hashpartitioning" not in found._jdf.queryExecution().toString()
+    assert {tuple(r) for r in found.collect()} == {(1, 1, "\n".join(f"line {k}" for k in range(6))), (1, 2, "\n".join(f"line {k}" for k in range(40, 46))), (3, 1, texts[2][1])}
