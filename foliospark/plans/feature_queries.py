@@ -177,12 +177,17 @@ def outline_fits(spark, sf_dir):
 # ---- streaming -----------------------------------------------------------------
 
 
+#: Bytes of a row group of the arriving files.
+ROW_GROUP = 1 << 20
+
+
 @query("stream_arrivals", pdf_queries.fill(pdf_queries.DOC_SQL))
 def stream_arrivals(spark, sf_dir):
     """Drawn files written to the shared folder, read as a stream, and their texts written by it."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/arrivals-{uuid.uuid4().hex}"
-    pdf_queries.drawn(spark, sf_dir).write.parquet(f"{folder}/files")
+    # Small row groups, so that the few files of a batch are read by all cores.
+    pdf_queries.drawn(spark, sf_dir).write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/files")
     arriving = spark.readStream.schema("doc_id bigint, content binary").option("maxFilesPerTrigger", 4).parquet(f"{folder}/files")
     texts = tables.extract(arriving, "documents").where("text <> ''").select("doc_id", "text")
     texts.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/texts").awaitTermination()

@@ -136,3 +136,26 @@ def test_region_is_laid_out_where_the_page_is_read(spark, tmp_path):
     found = pdf_queries.QUERIES["region_text"](spark, str(tmp_path))
     assert "hashpartitioning" not in found._jdf.queryExecution().toString()
     assert {tuple(r) for r in found.collect()} == {(1, 1, "\n".join(f"line {k}" for k in range(6))), (1, 2, "\n".join(f"line {k}" for k in range(40, 46))), (3, 1, texts[2][1])}
+
+
+# ---- arriving files
+
+
+def test_arriving_files_can_be_read_in_parts(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+
+    import pyarrow.parquet as pq
+
+    from foliospark.plans import feature_queries
+
+    rng = np.random.default_rng(5)
+    texts = [(i, "\n".join(rng.bytes(30).hex() for _ in range(30))) for i in range(1000)]
+    spark.createDataFrame(texts, "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(feature_queries, "ROW_GROUP", 1 << 16, raising=False)
+    feature_queries.ensure_checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    known = set(folder.glob("arrivals-*"))
+    found = feature_queries.QUERIES["stream_arrivals"](spark, str(tmp_path))
+    assert {tuple(r) for r in found.collect()} == set(texts)
+    (made,) = set(folder.glob("arrivals-*")) - known
+    assert all(pq.ParquetFile(p).num_row_groups > 1 for p in made.glob("files/*.parquet"))
